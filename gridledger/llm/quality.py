@@ -19,7 +19,7 @@ from gridledger.llm.shared import as_bytes, ready
 
 #: Buckets of words and of word pairs, each.
 BUCKETS = 1 << 14
-THRESHOLD = -0.6
+THRESHOLD = -0.1
 SMOOTH = 1.0
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\v\f\r"
