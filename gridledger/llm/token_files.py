@@ -2,7 +2,7 @@
 
 A data set is a folder of shards. Shard k holds documents whose ids come after those of shard k - 1:
 
-* ids-<k>.bin: the ids of its documents, one after another, 4 bytes each;
+* ids-<k>.u2 (or .u4): the ids of its documents, one after another, 2 bytes each where the vocabulary allows, else 4;
 * off-<k>.bin: n + 1 signed 64-bit offsets, counted from the first id of the whole data set, so that document i of the
   shard is ids[off[i] - off[0] : off[i + 1] - off[0]];
 * doc-<k>.bin: the n document ids, signed 64-bit (a null id is the least long, and sorts first).
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from gridledger.llm.shared import as_bytes, cut, fresh_dir, ready
 
 NULL_ID = -(1 << 63)
-#: Chunks of text whose ids a worker remembers, and the longest it does.
-REMEMBER, LONGEST = 400_000, 32
+#: Chunks of a generation: a worker remembers the ids of those it met in the last one or two, across tasks.
+REMEMBER = 400_000
 #: A space with white space (or an end) on both sides; elsewhere, no token of the pattern crosses the place before a space.
 _ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
 
@@ -46,34 +46,68 @@ class ChunkEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known, split, fresh = self.known, [], set()
-        if len(known) > REMEMBER:
-            known.clear()
+        size = self.model.get_vocab_size(with_added_tokens=True)
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        self.starts = np.array([(self.model.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, fresh: set[str]) -> None:
+        """Encodes new chunks: those without white space at their ends as one long text, which parts where an id starts with a space."""
+        young, old = self.young, self.old
+        if len(young) > REMEMBER:
+            self.old, self.young = old, young = young, {}
+        plain, other = [], []
+        for w in fresh:
+            if w in old:
+                young[w] = old[w]
+            else:
+                (other if not w or w[0].isspace() or w[-1].isspace() else plain).append(w)
+        for i in range(0, len(plain), 5000):
+            part = plain[i : i + 5000]
+            ids = np.array(self.model.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            at = [*np.flatnonzero(self.starts[ids]).tolist(), len(ids)]
+            if len(at) != len(part) + 1:
+                raise AssertionError("a chunk's ids hold a space of their own")
+            raw, width = ids.tobytes(), ids.itemsize
+            for w, s, e in zip(part, at, at[1:]):
+                young[w] = raw[s * width : e * width]
+        for w, e in zip(other, self.model.encode_batch_fast([w[1:] if w[:1] == " " else " " + w for w in other], add_special_tokens=False)):
+            young[w] = np.array(e.ids, self.dtype).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned integers of dtype."""
+        get, rows, fresh = self.young.get, [], set()
         for t in texts:
             if _ODD_SPACE.search(t):
-                split.append(None)
+                rows.append((None, t))
                 continue
-            first, *rest = t.split(" ")
             # A chunk is known by its word, which holds no space; the first one, which no space precedes, by a space and its word.
-            split.append([" " + first, *rest])
-            fresh.update(w for w in split[-1] if w not in known)
-        new = list(fresh)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.model.encode_batch_fast([w[1:] if w[:1] == " " else " " + w for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for t, chunks in zip(texts, split):
-            if chunks is None:
-                out.append(np.array(self.model.encode(t, add_special_tokens=False).ids, "<u4"))
+            words = t.split(" ")
+            words[0] = " " + words[0]
+            ids = list(map(get, words))
+            if None in ids:
+                fresh.update([w for w, x in zip(words, ids) if x is None])
+                rows.append((words, ids))
             else:
-                out.append(np.frombuffer(b"".join([known[w] for w in chunks]), "<u4"))
-        for w in [w for w in new if len(w) > LONGEST]:
-            del known[w]
-        return out
+                rows.append(b"".join(ids))
+        self.learn(fresh)
+        young = self.young
+        for i, r in enumerate(rows):
+            if r.__class__ is tuple:
+                words, ids = r
+                rows[i] = b"".join([young[w] if x is None else x for w, x in zip(words, ids)]) if words else np.array(self.model.encode(ids, add_special_tokens=False).ids, self.dtype).tobytes()
+        return rows
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    """This process's encoder for a tokenizer file; it outlives tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
 
 
 def filesystem(uri: str):
@@ -113,23 +147,23 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         import pyarrow as pa
 
         where, root = filesystem(folder)
-        k, encoder = TaskContext.get().partitionId(), ChunkEncoder(tokenizer_path)
-        ids, lengths, own = f"{root}/ids-{k}.bin.{uuid.uuid4().hex}", [], []
-        end, wrote = np.array([end_id], "<u4").tobytes(), False
-        with where.open_output_stream(ids) as f:
+        k, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer_path)
+        ids = f"{root}/ids-{k}.{encoder.dtype[1:]}"
+        writing, lengths, own = f"{ids}.{uuid.uuid4().hex}", [], []
+        end, width = np.array([end_id], encoder.dtype).tobytes(), int(encoder.dtype[2])
+        with where.open_output_stream(writing) as f:
             for b in batches:
                 for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                     own.append(part.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8"))
                     for x in encoder.encode([x.decode() for x in as_bytes(part.column("text"))]):
-                        f.write(x.tobytes() + end)
-                        lengths.append(len(x) + 1)
-                        wrote = True
-        if not wrote:
-            where.delete_file(ids)
+                        f.write(x + end)
+                        lengths.append(len(x) // width + 1)
+        if not lengths:
+            where.delete_file(writing)
             return
         put(where, f"{root}/doc-{k}.bin", [x.tobytes() for x in own])
         put(where, f"{root}/len-{k}.bin", [np.array(lengths, "<i8").tobytes()])
-        where.move(ids, f"{root}/ids-{k}.bin")
+        where.move(writing, ids)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "docs": pa.array([len(lengths)], pa.int64()), "ids": pa.array([sum(lengths)], pa.int64())})
 
     src = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text")
@@ -154,7 +188,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     return cut(bases.repartition(max(1, len(rows))).mapInArrow(offsets, "shard int, docs bigint, ids bigint, base bigint"))
 
 
-def read_tokens(written: DataFrame, folder: str) -> DataFrame:
+def read_tokens(written: DataFrame, folder: str, dtype: str = "<u2") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files; one shard is mapped at a time."""
 
     def read(batches):
@@ -163,10 +197,10 @@ def read_tokens(written: DataFrame, folder: str) -> DataFrame:
         where, root = filesystem(folder)
         for b in batches:
             for k in b.column("shard").to_pylist():
-                ids, off, doc = (get(where, f"{root}/{x}-{k}.bin", d) for x, d in (("ids", "<u4"), ("off", "<i8"), ("doc", "<i8")))
+                ids, off, doc = (get(where, f"{root}/{x}", d) for x, d in ((f"ids-{k}.{dtype[1:]}", dtype), (f"off-{k}.bin", "<i8"), (f"doc-{k}.bin", "<i8")))
                 for i in range(0, len(doc), 10_000):
                     at = np.asarray(off[i : i + 10_001])
-                    crc = [zlib.crc32(ids[s:e]) for s, e in zip((at[:-1] - off[0]).tolist(), (at[1:] - off[0]).tolist())]
+                    crc = [zlib.crc32(np.asarray(ids[s:e], "<u4")) for s, e in zip((at[:-1] - off[0]).tolist(), (at[1:] - off[0]).tolist())]
                     own = np.asarray(doc[i : i + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NULL_ID), pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -176,4 +210,4 @@ def read_tokens(written: DataFrame, folder: str) -> DataFrame:
 def token_round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
     """Writes docs in the file format to a new folder in the shared one, and reads every document back."""
     folder = fresh_dir(ready(docs.sparkSession), "tokens")
-    return read_tokens(write_tokens(docs, folder, tokenizer_path, end_id, shards), folder)
+    return read_tokens(write_tokens(docs, folder, tokenizer_path, end_id, shards), folder, encoder_of(tokenizer_path).dtype)
