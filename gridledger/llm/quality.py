@@ -67,7 +67,8 @@ def base_rules(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
 def count_ngrams(docs: DataFrame, good: DataFrame) -> np.ndarray:
     """[2, 2 * BUCKETS]: n-grams of the raw corpus and of the target. Each task sends one row for each bucket it met."""
     ids = good.select(F.col("doc_id").alias("good_id")).where("good_id is not null").distinct()
-    marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
+    # By merge at every size: the labels grow with the corpus, and texts are shuffled once.
+    marked = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
 
     def run(batches):
         import pyarrow as pa
