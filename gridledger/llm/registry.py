@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridledger.llm import embedding_join, mixing, pieces, pii, quality, simhash, token_files, toxicity
+from gridledger.llm import embedding_join, licenses, mixing, pieces, pii, quality, simhash, token_files, toxicity
 from gridledger.llm.shared import table
 
 
@@ -25,6 +25,10 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.as_files(table(spark, sf_dir, "documents")), ["doc_id"])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,5 +53,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sentence_pieces, op4_toxicity, op5_personal_data, op6_embedding_join, op8_mix_sources, op9_simhash, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sentence_pieces, op3_license_scan, op4_toxicity, op5_personal_data, op6_embedding_join, op8_mix_sources, op9_simhash, op10_token_files)}
 ORACLES: dict[str, str] = {}
