@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridledger.llm import embedding_join, licenses, mixing, pieces, pii, quality, simhash, token_files, toxicity
+from gridledger.llm import embedding_join, licenses, mixing, pieces, pii, quality, recurrent, simhash, token_files, toxicity
 from gridledger.llm.shared import table
 
 
@@ -41,6 +41,10 @@ def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_recurrent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.score(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
 
@@ -53,5 +57,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sentence_pieces, op3_license_scan, op4_toxicity, op5_personal_data, op6_embedding_join, op8_mix_sources, op9_simhash, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_sentence_pieces, op3_license_scan, op4_toxicity, op5_personal_data, op6_embedding_join, op7_recurrent_score, op8_mix_sources, op9_simhash, op10_token_files)}
 ORACLES: dict[str, str] = {}
