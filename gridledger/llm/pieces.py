@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -89,6 +90,7 @@ def build_trie(pieces: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return pad(base, 0), pad(check, -1), pad(piece_at, -1)
 
 
+@lru_cache(maxsize=4)
 def load_vocabulary(path: str) -> Vocabulary:
     import sentencepiece
 
