@@ -75,9 +75,9 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int = 64, seed: int = 17, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int = 64, seed: int = 17, with_row: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: array of (copy, shard, words, place), one for each time the mix takes the
-    document; if `whole`, also row, a struct of all its columns.
+    document; if `with_row`, also row, a struct of all its columns.
 
     place orders a shard's documents. The driver holds one row for each source (data sets, not documents) and, while it
     splits, one count for each source and shard. A source's blocks are numbered by two-level prefix sums: of documents
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int = 64,
     sources = spark.createDataFrame(rows, "s int, source string, source_size bigint, target double, whole bigint, rest bigint, blocks bigint")
     unit = (F.shiftrightunsigned("u", 11).cast("double")) / float(1 << 53)
     sources = F.broadcast(sources) if len(rows) <= BROADCAST_SOURCES else sources
-    placed = (sized(docs, seed, True) if whole else base).join(sources.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("block", F.least(F.floor(unit * F.col("blocks")), F.col("blocks") - 1))
+    placed = (sized(docs, seed, True) if with_row else base).join(sources.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("block", F.least(F.floor(unit * F.col("blocks")), F.col("blocks") - 1))
     totals = placed.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
     before = Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = cut(totals.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))))
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int = 64,
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("in_block")))
     copies = F.transform("drawn", lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), F.when(d["copy"] < F.col("whole"), F.col("size")).otherwise(part).alias("words"), F.xxhash64(d["shard"], d["copy"], F.col("u"), F.lit(seed)).alias("place")))
     copies = F.filter(F.coalesce(copies, F.array().cast("array<struct<copy:bigint,shard:int,words:bigint,place:bigint>>")), lambda c: (c["words"] > 0) | (c["copy"] < F.col("whole")))
-    return at.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(["row"] if whole else []))
+    return at.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(["row"] if with_row else []))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int = 64, seed: int = 17) -> DataFrame:
@@ -123,7 +123,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards
 
     A row taken in part has its text cut after the last word taken; n_chars, where there is one, is the length of what is taken.
     """
-    took = mix(docs, weights, most, shards, seed, whole=True).select("row", "size", F.explode("copies").alias("c"))
+    took = mix(docs, weights, most, shards, seed, with_row=True).select("row", "size", F.explode("copies").alias("c"))
     dealt = took.repartition(shards, F.col("c.shard")).sortWithinPartitions("c.shard", "c.place")
     space = r"[\x20\x09-\x0D]"
     words = F.split(F.col("row.text"), rf"(?<=[^\x20\x09-\x0D])(?={space})", -1)

@@ -290,6 +290,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Machin
     own = [list(r.words)[:400] for r in lone.orderBy("sketch").limit(600).collect()]
     size = counts.agg(F.count("*"), F.sum("t"), F.sum("c")).first()
     counts.unpersist()
+    if not size[0]:
+        return silent
     # A word of n documents is toxic in all of them by chance with the toxic share to the power n.
     share = size[1] / (size[1] + size[2])
     least = max(3, math.ceil(math.log(max(2, size[0]) / 0.05) / -math.log(share))) if 0 < share < 1 else 3
