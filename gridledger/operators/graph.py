@@ -44,12 +44,13 @@ def reach_a_cycle(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         n = now
 
 
-def lineage(edges: DataFrame, starts: DataFrame, depth: int = 200, a: str = "a", b: str = "b") -> DataFrame:
-    """(start, node, depth) of all nodes reached from starts (start), at their least depth; cycles end where nothing new is met."""
+def lineage(edges: DataFrame, starts: DataFrame, depth: int | None = None, a: str = "a", b: str = "b") -> DataFrame:
+    """(start, node, depth) of all nodes reached from starts (start), at their least depth, to a given depth or until nothing new is met."""
     step = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
     seen = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
-    edge = seen
-    for k in range(1, depth + 1):
+    edge, k = seen, 0
+    while depth is None or k < depth:
+        k += 1
         nxt = edge.join(step, edge["node"] == step["a"]).select("start", F.col("b").alias("node")).distinct()
         edge = cut(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(k)))
         if not edge.head(1):
@@ -58,19 +59,37 @@ def lineage(edges: DataFrame, starts: DataFrame, depth: int = 200, a: str = "a",
     return seen
 
 
-def levels(edges: DataFrame, a: str = "a", b: str = "b", most: int = 1000) -> DataFrame:
-    """(node, level): the longest path to a node without edges out; nodes that reach a cycle have none."""
+def history(edges: DataFrame, starts: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """lineage() without a bound, of nodes with at most one edge out each: steps double, so a chain of n takes log2(n) rounds."""
+    jump = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    if jump.groupBy("a").count().where("count > 1").head(1):
+        raise ValueError("a node has several edges out")
+    seen = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    far = 1
+    while True:
+        nxt = seen.join(jump, seen["node"] == jump["a"]).groupBy("start", F.col("b").alias("node")).agg(F.min(F.col("depth") + far).alias("depth"))
+        new = cut(nxt.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        if not new.head(1):
+            return seen
+        seen = cut(seen.unionByName(new))
+        jump = cut(jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")))
+        far *= 2
+
+
+def levels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, level): the longest path to a node without edges out; only nodes that reach a cycle have none."""
     e = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     done = cut(nodes.join(e.select(F.col("a").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
-    for k in range(1, most + 1):
+    k = 0
+    while True:
+        k += 1
         rest = e.join(done.select(F.col("node").alias("a")), "a", "left_anti")
         blocked = rest.join(done.select(F.col("node").alias("b")), "b", "left_anti").select("a").distinct()
         ready = cut(rest.select("a").distinct().join(blocked, "a", "left_anti").select(F.col("a").alias("node"), F.lit(k).alias("level")))
         if not ready.head(1):
-            break
+            return done
         done = cut(done.unionByName(ready))
-    return done
 
 
 def peel_merge(vectors: dict[str, list[float]], threshold: float = 0.72) -> dict[str, str]:

@@ -46,7 +46,7 @@ def gr6(spark, d):
 
     o = supersede(table(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "o_orderkey")
     e = o.where("superseded_by is not null").select(F.col("o_orderkey").alias("a"), F.col("superseded_by").alias("b"))
-    return graph.lineage(e, o.where("o_orderkey % 500 = 1").select(F.col("o_orderkey").alias("start")))
+    return graph.history(e, o.where("o_orderkey % 500 = 1").select(F.col("o_orderkey").alias("start")))
 
 
 @query("GR7_sheet_closure", f"WITH RECURSIVE e AS (SELECT DISTINCT a % 97 AS a, b % 97 AS b FROM {_EDGES} WHERE a % 13 = 0), r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT e.b FROM r JOIN e ON r.node = e.a) SELECT node FROM r")
