@@ -1,11 +1,13 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor.
 
 A template is a licence's notice. Terms are lower-case words without punctuation at their ends. A term's weight is its count
-times ln((1 + documents) / (1 + documents that hold it)), with document counts over the whole corpus; terms of no template
-weigh as one that a single document holds. Windows of one to three lines are compared with every template, and in licence
-files the whole text too. The best window of at least `threshold` is the file's own licence; ties go to the
-earlier template. Lines are skipped only where no window over them can reach the threshold: for each template, the terms
-without which the rest of it stays below the threshold are its keys, and a window needs one of some template's keys.
+times ln((1 + documents) / (1 + documents that hold it)), with document counts over the whole corpus, of outside words too.
+Windows of one to three lines are compared with every template, and in licence files the whole text too; windows of as many
+words as a template has, over any lines, that begin or end with one of its terms are compared with it. The best window of at
+least `threshold` is the file's own licence; ties go to the earlier template. Texts are skipped only where no window can reach
+the threshold: for each template, the terms without which the rest of it stays below the threshold are its keys, and a
+window needs one of some template's keys. Document counts of outside words are joined only to texts that have a window of at
+least the threshold if those words weigh nothing; the score of other texts is 0.
 
 A licence file (by its name) also licenses its directory; of several, the best score counts, then the least path. A file
 without a licence of its own takes that of the nearest directory above it that has one: the distinct directories are
@@ -19,7 +21,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from gridledger.llm.shared import as_bytes, cut, ready
 THRESHOLD = 0.7
 #: Lines of a window at most.
 LINES = 3
+#: Terms that a task counts before it sends them on.
+HELD_TERMS = 200_000
 LICENSE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)[^/]*$"
 #: Notices by SPDX id, in order of preference among equals.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -75,24 +78,31 @@ class Matcher:
                         break
                     keys.add(t)
                     left -= x * x
-        # Longest first, so that a key is tried before its beginnings; found as any part of a line, which skips no line.
-        self.keys = re.compile("|".join(re.escape(k) for k in sorted(keys, key=lambda k: (-len(k), k))))
-
-    def score(self, words: list[str]) -> tuple[float, int]:
-        """The best cosine over templates, and which."""
-        count = Counter(words)
-        v = {t: c * self.idf.get(t, self.other) for t, c in count.items()}
+        # Longest first, so that a key is tried before its beginnings; a key that is a term has no letter or digit beside it.
+        self.keys = re.compile(r"(?<![^\W_])(?:" + "|".join(re.escape(k) for k in sorted(keys, key=lambda k: (-len(k), k))) + r")(?![^\W_])")
+        self.sizes = [len(terms(n)) for x in templates.values() for n in x]
+        self.docs = docs
+
+    def score(self, words: list[str], df: dict[str, int] | None = None, only: tuple[int, ...] | None = None, light: bool = False) -> tuple[float, int]:
+        """The best cosine over templates (or those of only), and which. df: document counts of outside words; a word without
+        one counts as held by one document. light: outside words weigh nothing, which no score exceeds."""
+        v = {}
+        for t, c in Counter(words).items():
+            if t in self.idf:
+                v[t] = c * self.idf[t]
+            elif not light:
+                v[t] = c * (max(1e-3, math.log((1 + self.docs) / (1 + df[t]))) if df and t in df and self.docs > 1 else self.other)
         norm = math.sqrt(sum(x * x for x in v.values()))
         best, which = 0.0, -1
         if norm:
-            for k, template in enumerate(self.vectors):
-                s = sum(x * v[t] for t, x in template.items() if t in v) / norm
+            for k in range(len(self.vectors)) if only is None else only:
+                s = sum(x * v[t] for t, x in self.vectors[k].items() if t in v) / norm
                 if s > best + 1e-12:
                     best, which = s, k
         return best, which
 
-    def scan(self, text: str, whole: bool) -> tuple[str | None, float]:
-        """Own licence and score of a text."""
+    def windows(self, text: str, whole: bool):
+        """The windows that can reach the threshold, with the templates to compare (None: all)."""
         lower = text.lower()
         at, line, last = [], 0, 0
         for m in self.keys.finditer(lower):
@@ -101,56 +111,103 @@ class Matcher:
             if not at or at[-1] != line:
                 at.append(line)
         if not at:
-            return None, 0.0
-        lines = [terms(x) for x in lower.split("\n")] if len(at) > 20 else None
-        raw = lower.split("\n")
-        words = lambda i: lines[i] if lines else terms(raw[i])
-        best, which = self.score([t for i in range(len(raw)) for t in words(i)]) if whole else (0.0, -1)
-        for start, end in sorted({(i - k, i - k + n) for i in at for n in range(1, LINES + 1) for k in range(n) if i - k >= 0 and i - k + n <= len(raw)}):
-            s, k = self.score([t for i in range(start, end) for t in words(i)])
+            return
+        lines = [terms(x) for x in lower.split("\n")]
+        words = [t for x in lines for t in x]
+        if whole:
+            yield words, None
+        for start, end in sorted({(i - k, i - k + n) for i in at for n in range(1, LINES + 1) for k in range(n) if i - k >= 0 and i - k + n <= len(lines)}):
+            yield [t for x in lines[start:end] for t in x], None
+        have, least = self.idf.keys() & set(words), self.threshold * self.threshold - 1e-9
+        for k, (vector, size) in enumerate(zip(self.vectors, self.sizes)):
+            if sum(x * x for t, x in vector.items() if t in have) < least:
+                continue
+            top = max(0, len(words) - size)
+            for start in sorted({min(max(0, s), top) for i, t in enumerate(words) if t in vector for s in (i, i - size + 1)}):
+                part = words[start : start + size]
+                if sum(vector[t] ** 2 for t in vector.keys() & set(part)) >= least:
+                    yield part, (k,)
+
+    def outside(self, text: str, whole: bool) -> list[str] | None:
+        """The outside words of windows that reach the threshold if those weigh nothing; None where no window does."""
+        found = [set(w) for w, only in self.windows(text, whole) if self.score(w, only=only, light=True)[0] >= self.threshold - 1e-9]
+        return sorted(set().union(*found) - self.idf.keys()) if found else None
+
+    def scan(self, text: str, whole: bool, df: dict[str, int] | None = None) -> tuple[str | None, float]:
+        """Own licence and score of a text."""
+        best, which = 0.0, -1
+        for words, only in self.windows(text, whole):
+            s, k = self.score(words, df, only)
             if s > best + 1e-12 or (s > best - 1e-12 and 0 <= k < which):
                 best, which = s, k
         return (self.names[which], best) if best >= self.threshold else (None, best)
 
 
-def document_frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
-    """Documents that hold each term of the vocabulary, and documents, over all files; each task sends a row for each term."""
-    order = sorted(vocabulary)
+def term_counts(files: DataFrame) -> DataFrame:
+    """(term, n): documents that hold each term, and under "" documents; tasks count before the shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
-        place = {t: i for i, t in enumerate(order)}
-        count, docs = np.zeros(len(order), np.int64), 0
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array([*count, ""], pa.string()), pa.array([*count.values(), docs], pa.int64())], names=["term", "n"])
+
+        count, docs = Counter(), 0
         for b in batches:
             for text in as_bytes(b.column("text")):
                 docs += 1
-                for t in vocabulary.intersection(terms(text.decode())):
-                    count[place[t]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*order, ""]), pa.array([*count.tolist(), docs], pa.int64())], names=["term", "n"])
+                count.update(set(terms(text.decode())))
+                if len(count) > HELD_TERMS:
+                    yield rows()
+                    count, docs = Counter(), 0
+        yield rows()
+
+    return files.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
 
-    got = {r.term: r.n for r in files.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return {t: int(got.get(t, 0)) for t in order}, int(got.get("", 0))
+def document_frequencies(files: DataFrame, vocabulary: set[str], counts: DataFrame | None = None) -> tuple[dict[str, int], int]:
+    """Documents that hold each term of the vocabulary, and documents, over all files."""
+    counts = term_counts(files) if counts is None else counts
+    got = {r.term: r.n for r in counts.where(F.col("term").isin([*vocabulary, ""])).collect()}
+    return {t: int(got.get(t, 0)) for t in sorted(vocabulary)}, int(got.get("", 0))
 
 
 def own_licenses(files: DataFrame, keep: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files' columns in keep, is_license_file, own_license and own_score of every row."""
     spark = ready(files.sparkSession)
     vocabulary = {t for x in templates.values() for n in x for t in terms(n)}
-    matcher = spark.sparkContext.broadcast(Matcher(templates, *document_frequencies(files, vocabulary), threshold))
+    counts = cut(term_counts(files))
+    matcher = spark.sparkContext.broadcast(Matcher(templates, *document_frequencies(files, vocabulary, counts), threshold))
     src = files.select(*dict.fromkeys([*keep, "path", "text"])).withColumn("is_license_file", F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)))
     names = [*keep, "is_license_file"]
 
-    def run(batches):
+    def near(batches):
+        import pyarrow as pa
+
+        m = matcher.value
+        for b in batches:
+            texts = [x.decode() for x in as_bytes(b.column("text"))]
+            need = [m.outside(x, w) for x, w in zip(texts, b.column("is_license_file").to_pylist())]
+            own = [None if n is None else x for x, n in zip(texts, need)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(own, pa.string()), pa.array(need, pa.list_(pa.string()))], names=[*names, "_text", "_need"])
+
+    def exact(batches):
         import pyarrow as pa
 
         m = matcher.value
         for b in batches:
-            found = [m.scan(x.decode(), w) for x, w in zip(as_bytes(b.column("text")), b.column("is_license_file").to_pylist())]
+            rows = zip(b.column("_text").to_pylist(), b.column("is_license_file").to_pylist(), b.column("_df").to_pylist())
+            found = [m.scan(x, w, {i["term"]: i["n"] for i in df or ()}) for x, w, df in rows]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "own_license", "own_score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
-    return src.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", own_license string, own_score double")
+    shape = ", ".join(f"`{n}` {kinds[n]}" for n in names)
+    rows = cut(src.mapInArrow(near, shape + ", _text string, _need array<string>").withColumn("_row", F.monotonically_increasing_id()))
+    some = rows.where("_need is not null")
+    known = some.select("_row", F.explode("_need").alias("term")).join(counts, "term").groupBy("_row").agg(F.collect_list(F.struct("term", "n")).alias("_df"))
+    matched = some.drop("_need").join(known, "_row", "left").mapInArrow(exact, shape + ", own_license string, own_score double")
+    rest = rows.where("_need is null").select(*names, F.lit(None).cast("string").alias("own_license"), F.lit(0.0).alias("own_score"))
+    return matched.unionByName(rest)
 
 
 def inherit(scanned: DataFrame) -> DataFrame:

@@ -50,3 +50,32 @@ def test_frequencies_cover_all_documents(few_docs):
 def test_empty_and_edges(edge_docs, no_docs):
     assert lic.scan(lic.as_files(no_docs), ["doc_id"]).count() == 0
     assert lic.scan(lic.as_files(edge_docs), ["doc_id"]).count() == edge_docs.count()
+
+
+def test_common_outside_words_weigh_little_at_every_size(spark):
+    """A word that every document holds hides no notice, however many documents there are."""
+    notice = lic.TEMPLATES["MIT"][0]
+    rows = [("n.txt", f"today {notice}")] + [(f"{i}.txt", f"today w{i}") for i in range(2000)]
+    files = spark.createDataFrame(rows, "path string, text string").repartition(3)
+    (got,) = lic.own_licenses(files, ["path"]).where("own_license is not null").collect()
+    assert (got.path, got.own_license) == ("n.txt", "MIT") and got.own_score == pytest.approx(1.0, abs=1e-3)
+    df, n = lic.document_frequencies(files, {"today", "mit"})
+    assert n == 2001 and df == {"today": 2001, "mit": 1}
+
+
+def test_notices_in_long_lines_and_over_many_lines():
+    m = lic.Matcher(lic.TEMPLATES, {}, 100_000, lic.THRESHOLD)
+    around = " ".join(f"outside{i}" for i in range(300))
+    for name, notices in lic.TEMPLATES.items():
+        for notice in notices:
+            assert m.scan(f"{around} {notice} {around}", False) == (name, pytest.approx(1.0))
+            assert m.scan("\n".join([around, *notice.split(), around]), False) == (name, pytest.approx(1.0))
+
+
+def test_counts_are_joined_wherever_a_score_can_reach_the_threshold():
+    m = lic.Matcher(lic.TEMPLATES, {"the": 900, "license": 40, "under": 300, "mit": 200}, 1000, lic.THRESHOLD)
+    for t in ("by X released under the MIT license today", "mit the license of", "a b c", "Licensed under the Apache License by Foo, Version 2.0"):
+        need = m.outside(t, False)
+        for n in (1, 30, 1000):
+            assert need is not None or m.scan(t, False, dict.fromkeys(lic.terms(t), n))[0] is None
+    assert m.outside("by X released under the MIT license today", False) is not None
