@@ -9,7 +9,9 @@ logistic curve, fitted to labelled documents, turns the margin into the score.
 
 Labels mark documents, not words. Words of labelled sentences that occur in several toxic documents and in no clean one are
 the first positive examples; then, for each toxic document without any, its word of the largest margin joins them, and the
-machine is trained again. "Several" is so many that chance would give no word of the sample that count. Training uses a
+machine is trained again. "Several" is so many that chance would give no word of the sample that count. All words of all
+documents of the sample are looked through in each of ROUNDS rounds, in tasks: those of toxic documents for the best, all
+clean words for the HARDEST that look toxic, which join the negative examples. Training uses a
 sample of at most `most` toxic and CLEAN times as many clean labelled documents, those of the least hash of doc_id; every
 document is scored.
 
@@ -27,14 +29,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.shared import as_bytes, crc32_text, ready
+from gridledger.llm.shared import as_bytes, crc32_text, cut, ready
 
 LAMBDA = np.float32(0.6)
 LANDMARKS = 32
 LONG = 24
 #: Toxic documents of the training sample at most; of clean ones, CLEAN times as many.
 MOST_LABELS, CLEAN = 1500, 4
-MOST_WORDS = 20_000
+#: Rounds of training; clean words that join the negatives in a round at most, and the margin that they have at least.
+ROUNDS, HARDEST, NEAR = 4, 500, -0.8
+#: Margin that the best word of an unexplained toxic document has at least.
+SURE = 0.5
+#: Negatives of the first round: the most frequent clean words, and of those behind every RARE_STEP-th up to RARE.
+COMMON, RARE_STEP, RARE = 3000, 7, 1500
+#: Landmarks that are clean words, and the negatives of the largest margin that they are chosen of.
+CLEAN_LANDMARKS, CLEAN_CHOICE = 8, 200
+#: Positives of the first round where no word is in enough toxic documents.
+FEW = 10
 REMEMBER = 300_000
 _RUNS = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -166,22 +177,19 @@ def choose(words: list[str], count: int) -> list[str]:
     return out
 
 
-def train(bad: list[tuple[str, int]], good: list[tuple[str, int]], docs: list[list[str]], least: int) -> Machine:
-    """bad: words of toxic documents only, with the number of different documents; good: words of clean ones, by number;
-    docs: for toxic documents, their words that no clean one has."""
-    seeds = [w for w, n in bad if n >= least] or [w for w, _ in bad[:10]]
-    common = [w for w, _ in good[:3000]]
-    rest = [w for w, _ in good[3000:]]
+def train(seeds: list[str], good: list[tuple[str, int]], best, hardest) -> Machine:
+    """seeds: the first positives; good: the first negatives, with their numbers of clean documents. best(machine, positives):
+    the best words of toxic documents without a positive; hardest(machine, negatives): clean words, with their numbers, that look toxic."""
     often = dict(good)
-    negative, positive = common + rest[::7][:1500], list(seeds)
+    negative, positive = list(often), list(seeds)
     machine = Machine([], np.zeros(0), np.zeros(0), -1.0)
-    for _ in range(4):
-        marks = choose(positive[:400], LANDMARKS - 8)
+    for _ in range(ROUNDS):
+        marks = choose(positive, LANDMARKS - CLEAN_LANDMARKS)
         if not marks:
             return machine
         scores = machine.margins(negative)
-        hard = [negative[i] for i in np.argsort(-scores, kind="stable")[:200]]
-        marks += [w for w in choose(hard, 8) if w not in marks]
+        hard = [negative[i] for i in np.argsort(-scores, kind="stable")[:CLEAN_CHOICE]]
+        marks += [w for w in choose(hard, CLEAN_LANDMARKS) if w not in marks]
         own = self_kernel(marks)
         mm = normalised(marks, marks, own)
         value, vector = np.linalg.eigh((mm + mm.T) / 2)
@@ -190,23 +198,61 @@ def train(bad: list[tuple[str, int]], good: list[tuple[str, int]], docs: list[li
         kx = np.vstack([normalised(words[i : i + 512], marks, own) for i in range(0, len(words), 512)])
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         # Each side weighs the same; common clean words weigh more.
-        of = np.array([1.0] * len(positive) + [math.sqrt(often.get(x, 1)) for x in negative])
+        of = np.array([1.0] * len(positive) + [math.sqrt(often[x]) for x in negative])
         weight = of / np.where(y > 0, len(positive), of[len(positive) :].sum()) * len(y) / 2
         w = svm(kx @ root, y, weight)
         machine = Machine(marks, own, root @ w[:-1], float(w[-1]))
         # Clean words that look toxic join the negatives; the best word of unexplained toxic documents joins the positives.
-        wrong = machine.margins(rest)
-        negative = list(dict.fromkeys(negative + [rest[i] for i in np.argsort(-wrong, kind="stable")[:500] if wrong[i] > -0.8]))
-        known, more = set(positive), []
-        for own_words in docs:
-            if own_words and not known.intersection(own_words):
-                got = machine.margins(own_words)
-                if got.max() > 0.5:
-                    more.append(own_words[int(got.argmax())])
-        positive = list(dict.fromkeys(positive + more))
+        more = hardest(machine, negative)
+        often.update(more)
+        negative = list(dict.fromkeys(negative + [x for x, _ in more]))
+        positive = list(dict.fromkeys(positive + best(machine, positive)))
     return machine
 
 
+def lone_words(seen: DataFrame, counts: DataFrame) -> DataFrame:
+    """(sketch, words): of every toxic document of the sample, all its words that no clean one has."""
+    return seen.where("toxic = 1").join(counts.where("c = 0").select("word"), "word").groupBy("sketch").agg(F.sort_array(F.collect_list("word")).alias("words"))
+
+
+def best_words(lone: DataFrame, machine: Machine, positive: list[str]) -> list[str]:
+    """The word of the largest margin of each document that holds no positive, if it is SURE; one row a document comes here."""
+    known = lone.sparkSession.sparkContext.broadcast((machine, frozenset(positive)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        m, have = known.value
+        for b in batches:
+            out = ([], [])
+            for sketch, own in zip(b.column("sketch").to_pylist(), b.column("words").to_pylist()):
+                if have.isdisjoint(own):
+                    got = m.margins(own)
+                    if got.max() > SURE:
+                        out[0].append(sketch), out[1].append(own[int(got.argmax())])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], names=["sketch", "word"])
+
+    return [r.word for r in sorted(lone.mapInArrow(run, "sketch bigint, word string").collect())]
+
+
+def hardest_words(clean: DataFrame, machine: Machine, negative: list[str]) -> list[tuple[str, int]]:
+    """Of all clean words (word, c) that are no negatives yet, the HARDEST of the largest margins over NEAR."""
+    known = clean.sparkSession.sparkContext.broadcast((machine, frozenset(negative)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        m, have = known.value
+        for b in batches:
+            rows = [(w, c) for w, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist()) if w not in have]
+            got = m.margins([w for w, _ in rows])
+            near = [(w, c, x) for (w, c), x in zip(rows, got.tolist()) if x > NEAR]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in near], pa.string()), pa.array([r[1] for r in near], pa.int64()), pa.array([r[2] for r in near], pa.float64())], names=["word", "c", "margin"])
+
+    top = clean.mapInArrow(run, "word string, c bigint, margin double").orderBy(F.desc("margin"), F.desc("c"), F.xxhash64("word"), "word").limit(HARDEST)
+    return [(r.word, r.c) for r in top.collect()]
+
+
 def calibrate(machine: Machine, margin: np.ndarray, toxic: np.ndarray) -> None:
     """Fits the logistic curve by Newton steps; targets are smoothed by class counts."""
     n1, n0 = toxic.sum(), (1 - toxic).sum()
@@ -281,21 +327,22 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> Machin
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], names=["word", "toxic", "sketch"])
 
     # Of one word there are at most (1 + CLEAN) * most rows.
-    seen = sample.mapInArrow(words, "word string, toxic int, sketch bigint").distinct()
-    counts = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    counts = counts.persist()
-    bad = [(r.word, r.t) for r in counts.where("c = 0 and t >= 2").orderBy(F.desc("t"), "word").limit(MOST_WORDS).collect()]
-    good = [(r.word, r.c) for r in counts.where("c > 0").orderBy(F.desc("c"), F.xxhash64("word"), "word").limit(MOST_WORDS).collect()]
-    lone = seen.where("toxic = 1").join(counts.where("c = 0").select("word"), "word").groupBy("sketch").agg(F.sort_array(F.collect_list("word")).alias("words"))
-    own = [list(r.words)[:400] for r in lone.orderBy("sketch").limit(600).collect()]
+    seen = cut(sample.mapInArrow(words, "word string, toxic int, sketch bigint").distinct())
+    counts = cut(seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     size = counts.agg(F.count("*"), F.sum("t"), F.sum("c")).first()
-    counts.unpersist()
     if not size[0]:
         return silent
     # A word of n documents is toxic in all of them by chance with the toxic share to the power n.
     share = size[1] / (size[1] + size[2])
     least = max(3, math.ceil(math.log(max(2, size[0]) / 0.05) / -math.log(share))) if 0 < share < 1 else 3
-    machine = train(bad, good, own, least)
+    only = counts.where("c = 0 and t >= 2").orderBy(F.desc("t"), "word")
+    seeds = [r.word for r in only.where(F.col("t") >= least).collect()] or [r.word for r in only.limit(FEW).collect()]
+    clean = counts.where("c > 0").select("word", "c")
+    top = [(r.word, r.c) for r in clean.orderBy(F.desc("c"), F.xxhash64("word"), "word").limit(COMMON + RARE_STEP * RARE).collect()]
+    good = top[:COMMON] + top[COMMON::RARE_STEP]
+    lone = cut(lone_words(seen, counts).repartition(spark.sparkContext.defaultParallelism, "sketch"))
+    clean = cut(clean.repartition(spark.sparkContext.defaultParallelism, "word"))
+    machine = train(seeds, good, lambda m, p: best_words(lone, m, p), lambda m, n: hardest_words(clean, m, n))
     if not machine.landmarks:
         return silent
     got = scored(sample, machine, ["toxic"]).select("margin", "toxic").collect()

@@ -73,3 +73,20 @@ def test_drop_keeps_columns_and_clean_rows(docs, labels, judged):
     kept = t.drop_toxic(wide, labels)
     assert kept.columns == wide.columns
     assert kept.where("score = 1.5").count() == kept.count() > 0
+
+
+def test_every_document_and_word_is_mined(spark):
+    """The insult stands behind 500 other words, and in more documents than 600."""
+    seen = spark.createDataFrame([(f"a{i}xy", 1, 7) for i in range(500)] + [("zidiot", 1, 7)] + [(f"idiot{k}", 1, k) for k in range(100, 800)], "word string, toxic int, sketch bigint")
+    counts = seen.groupBy("word").agg(t.F.lit(1).alias("t"), t.F.lit(0).alias("c"))
+    lone = t.lone_words(seen, counts)
+    own = t.self_kernel(["idiot"])
+    got = t.best_words(lone, t.Machine(["idiot"], own, np.array([4.0]), -0.8), ["idiot105"])
+    assert got[0] == "zidiot" and got[1:] == [f"idiot{k}" for k in range(100, 800) if k != 105]
+
+
+def test_all_clean_words_are_looked_through(spark):
+    """A rare word that looks toxic, behind 25,000 others, joins the negatives; those that are negatives already do not."""
+    clean = spark.createDataFrame([(f"w{i:05d}", 5) for i in range(25_000)] + [("idioto", 1), ("idiota", 1)], "word string, c bigint")
+    machine = t.Machine(["idiot"], t.self_kernel(["idiot"]), np.array([2.0]), -1.0)
+    assert t.hardest_words(clean, machine, ["idiota"]) == [("idioto", 1)]
