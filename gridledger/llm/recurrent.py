@@ -1,41 +1,51 @@
 """Language-model scoring: a gated recurrent model with a class-factored output softmax, in numpy.
 
 Tokens are words [^\\x20\\x09-\\x0D]+ of the text with A-Z in lower case, then one end. Learning rows are those whose
-crc32(doc_id as text) mod 5 is not 1; a null doc_id is held out. Null texts are empty: their one token is the end.
+crc32(doc_id as text) mod 5 is not 1; a null doc_id is held out. Null texts are empty: their one token is the end. Repeated
+rows are scored each; without learning rows every score is that of the first weights; an empty table gives no rows.
 
-Counts. Every task numbers the distinct tokens of each chunk of documents; (chunk, token, count) rows meet by token, so that
-a token's count over all learning documents, however frequent it is, is a sum that combines before the shuffle, and goes
-back to the chunks that hold the token. All counts, N and V are exact and cover the whole corpus.
+Counts. Every task numbers the distinct tokens of each chunk of documents. Rows (token, chunk, number in the chunk, count
+there) meet once, by the token's 128-bit hash: their sum, exact and over the whole corpus, is the token's count, and goes
+back to the chunks. A chunk has one row of a token, however frequent, so no token holds more than one row in some hundred
+thousand. Two of 10^10 different tokens share a hash with probability 10^-19.
 
-Symbols. The HEAD most frequent words, the end and the unknown word are symbols of their own; every other word is the tail
-symbol of its class, the hash of its first two characters. A class is a set of symbols. The model reads symbols and gives
-P(class | state) P(symbol | class, state); a tail word is then drawn from its class by count, so that all words and the
-unknown one together have probability 1. In learning, words that occur once stand for the unknown word half the time.
+Symbols. The head (the most frequent words; HEAD_ROOTS times the root of the number of distinct tokens, so that the model
+grows with the corpus), the end and the unknown word are symbols of their own; every other word is the tail symbol of its
+first two and last one byte. A class is a run of symbols, as many as there are classes. The model reads symbols and gives
+P(class | state) P(symbol | class, state); a tail word is then drawn from its symbol's words by count, so that all words and
+the unknown one together have probability 1. In learning, words that occur once stand for the unknown word half the time.
 
-Learning. The driver trains on a bounded number of tokens first (WARM: initial weights only). Then every task
-trains a copy by truncated backpropagation on all the learning documents that it holds, and the copies are averaged by
-tokens, in groups, then over groups: what is learned covers the whole corpus at every size.
+Learning. ROUNDS deals the learning documents into rounds. In a round every task trains a copy of the weights by truncated
+backpropagation on its documents of that round, and the copies are averaged by tokens, in groups, then over groups. Every
+token of every learning document trains once.
 
-Scoring. Documents run side by side, long ones first; the state is carried from window to window until each document's end,
-so every token is conditioned on all before it.
+Scoring. Documents are laid end to end in lanes; the state is carried from window to window until a document's end, so every
+token is conditioned on all before it.
+
+Reruns over the same files agree: chunks are numbered by task and place, and sums run in a fixed order.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridledger.llm.shared import as_bytes, crc32_text, cut, ready
+from gridledger.llm.shared import as_bytes, crc32_text, discard, fresh_dir, ready
 
-HEAD, CLASSES, HIDDEN = 1000, 32, 24
-#: Documents and bytes of a chunk at most (but for one document), streams and steps of a training window, scoring lanes.
-CHUNK_DOCS, CHUNK_BYTES, STREAMS, WINDOW, LANES = 2000, 4 << 20, 128, 16, 512
-WARM_TOKENS, WARM_ROUNDS, RATE = 150_000, 3, 4e-3
+HEAD_ROOTS, TAIL_SHARE, HIDDEN = 1, 4, 24
+#: Bytes of text of a chunk and tokens of a page (but for one document); streams and steps of a training window; scoring lanes and tokens scored at a time.
+CHUNK_BYTES, PAGE_TOKENS, STREAMS, WINDOW, LANES, TOGETHER = 32 << 20, 1 << 17, 512, 16, 512, 4 << 20
+#: The eighths of the learning documents that each round of averaging trains on, and the rate of learning.
+ROUNDS, RATE = ((0,), (1,), (2, 3), (4, 5, 6, 7)), 4e-3
+#: Logits lie within this; the exponentials of a class then never overflow.
+LOGIT = np.float32(60)
 UNKNOWN, END = 0, 1
 
 
@@ -43,141 +53,172 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def class_of(word: bytes) -> int:
-    """A word's class, by its first two characters; class 0 is that of the end and the unknown word."""
-    return 1 + zlib.crc32(word.decode("utf-8", "replace")[:2].encode()) % (CLASSES - 1)
+def shape_of(word: bytes) -> int:
+    return zlib.crc32(word[:2] + word[-1:]) & 0x7FFFFFFF
 
 
-@dataclass
+@dataclass(frozen=True)
 class Layout:
-    """Symbols: unknown, end, head words, then one tail for each class from 1. members[c] lists the symbols of class c."""
+    """Symbols: unknown, end, head words by rank, tails. Class k has the symbols from k * width on."""
 
-    head: dict[bytes, int]
-    klass: np.ndarray
-    place: np.ndarray
-    members: list[np.ndarray]
+    head: int
+    tails: int
+    width: int
 
     @classmethod
-    def of(cls, words: list[bytes]) -> Layout:
-        klass = np.array([0, 0, *(class_of(w) for w in words), *range(1, CLASSES)], np.int64)
-        members = [np.flatnonzero(klass == c) for c in range(CLASSES)]
-        place = np.zeros(len(klass), np.int64)
-        for m in members:
-            place[m] = np.arange(len(m))
-        return cls({w: i + 2 for i, w in enumerate(words)}, klass, place, members)
+    def of(cls, distinct: int) -> Layout:
+        head = min(distinct, HEAD_ROOTS * math.isqrt(distinct))
+        tails = max(1, head // TAIL_SHARE)
+        return cls(head, tails, math.isqrt(1 + head + tails) + 1)
+
+    @property
+    def symbols(self) -> int:
+        return 2 + self.head + self.tails
+
+    @property
+    def classes(self) -> int:
+        return -(-self.symbols // self.width)
+
+    @property
+    def kind(self) -> str:
+        """The type that holds a symbol, or a symbol plus the number of symbols."""
+        return "<u2" if 2 * self.symbols <= 1 << 16 else "<u4"
 
-    def tail(self, c: int) -> int:
-        return 2 + len(self.head) + c - 1
+    def members(self, k: int) -> slice:
+        return slice(k * self.width, min(self.symbols, (k + 1) * self.width))
 
 
 def initial(layout: Layout, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Weights that start from the symbols' own frequencies."""
-    rng, s, h = np.random.default_rng(7), len(layout.klass), HIDDEN
+    rng, s, h = np.random.default_rng(7), layout.symbols, HIDDEN
     p = counts + 0.5
-    mass = np.array([p[m].sum() for m in layout.members])
+    mass = np.array([p[layout.members(k)].sum() for k in range(layout.classes)])
     return {
         "x": rng.normal(0, 0.1, (s, 3 * h)).astype(np.float32),
-        "u": rng.normal(0, 1 / math.sqrt(h), (h, 3 * h)).astype(np.float32) * np.float32(0.5),
+        "u": rng.normal(0, 0.5 / math.sqrt(h), (h, 3 * h)).astype(np.float32),
         "b": np.zeros(3 * h, np.float32),
-        "c": np.zeros((h, CLASSES), np.float32),
+        "c": np.zeros((h, layout.classes), np.float32),
         "cb": np.log(mass / mass.sum()).astype(np.float32),
         "w": np.zeros((s, h), np.float32),
-        "wb": np.log(p).astype(np.float32),
+        "wb": np.concatenate([np.log(p[m] / p[m].sum()) for m in map(layout.members, range(layout.classes))]).astype(np.float32),
     }
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def step(p: dict, h: np.ndarray, symbols: np.ndarray):
     """One step of the gated unit: gates z, r and the candidate n; the new state is z h + (1 - z) n."""
     k = HIDDEN
-    a = p["x"][symbols] + p["b"]
-    hu = h @ p["u"][:, : 2 * k]
-    g = _sigmoid(a[:, : 2 * k] + hu)
+    a = p["x"].take(symbols, 0)
+    a += p["b"]
+    g = a[:, : 2 * k] + h @ p["u"][:, : 2 * k]
+    g *= 0.5
+    np.tanh(g, out=g)
+    g += 1
+    g *= 0.5
     z, r = g[:, :k], g[:, k:]
-    rh = r * h
-    n = np.tanh(a[:, 2 * k :] + rh @ p["u"][:, 2 * k :])
-    return z * h + (1 - z) * n, z, r, n
+    n = (r * h) @ p["u"][:, 2 * k :]
+    n += a[:, 2 * k :]
+    np.tanh(n, out=n)
+    return n + z * (h - n), z, r, n
+
+
+def _softmax(a: np.ndarray):
+    """Logits within LOGIT, their exponentials, and the sums of those."""
+    np.clip(a, -LOGIT, LOGIT, out=a)
+    e = np.exp(a)
+    return a, e, e @ np.ones(e.shape[1], e.dtype)
 
 
-def _log_softmax(x):
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _by_symbol(layout: Layout, y: np.ndarray):
+    """An order of the rows by symbol, the symbols in it, and where each class begins."""
+    order = np.argsort(y.astype(layout.kind), kind="stable")
+    q = y[order]
+    return order, q, np.searchsorted(q, np.arange(layout.classes + 1) * layout.width).tolist()
 
 
 def log_probability(p: dict, layout: Layout, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """ln P(symbol y | state h), rows of h."""
-    c = layout.klass[y]
-    out = _log_softmax(h @ p["c"] + p["cb"])[np.arange(len(y)), c].astype(np.float64)
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for k in np.unique(c):
-        at, m = order[bounds[k] : bounds[k + 1]], layout.members[k]
-        out[at] += _log_softmax(h[at] @ p["w"][m].T + p["wb"][m])[np.arange(len(at)), layout.place[y[at]]]
+    order, q, edges = _by_symbol(layout, y)
+    s, rows = h[order], np.arange(len(y))
+    a, _, total = _softmax(s @ p["c"] + p["cb"])
+    got = a[rows, q // layout.width].astype(np.float64) - np.log(total)
+    for k, (i, j) in enumerate(zip(edges, edges[1:])):
+        if i < j:
+            m = layout.members(k)
+            a, _, total = _softmax(s[i:j] @ p["w"][m].T + p["wb"][m])
+            got[i:j] += a[rows[: j - i], q[i:j] - m.start] - np.log(total)
+    out = np.empty(len(y))
+    out[order] = got
     return out
 
 
 def backward(p: dict, layout: Layout, h0: np.ndarray, xs: np.ndarray, ys: np.ndarray, fresh: np.ndarray):
-    """Loss and gradients over one window of [steps, streams]; fresh marks inputs that start a document. Gives the last state too."""
+    """Loss and gradients over one window of [steps, streams], and the last state; fresh marks inputs that start a document.
+
+    Where ys is negative there is no token. The gradient "x" is a pair: the symbols that the window reads, and their rows.
+    """
     t, n = xs.shape
     k = HIDDEN
     keep, h = [], h0
-    states = np.empty((t, n, k), np.float32)
+    states = np.empty((t, n, k), h0.dtype)
     for i in range(t):
-        h = np.where(fresh[i][:, None], np.float32(0), h)
+        h = h * ~fresh[i][:, None]
         new, z, r, cand = step(p, h, xs[i])
         keep.append((h, z, r, cand))
         states[i] = h = new
-    g = {name: np.zeros_like(v) for name, v in p.items()}
-    flat, y = states.reshape(-1, k), ys.ravel()
-    c, rows = layout.klass[y], np.arange(t * n)
-    lp = _log_softmax(flat @ p["c"] + p["cb"])
-    loss = -float(lp[rows, c].sum())
-    d = np.exp(lp)
-    d[rows, c] -= 1
-    g["c"], g["cb"] = flat.T @ d, d.sum(0)
-    dh = d @ p["c"].T
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    for q in np.unique(c):
-        at, m = order[bounds[q] : bounds[q + 1]], layout.members[q]
-        s = flat[at]
-        lw = _log_softmax(s @ p["w"][m].T + p["wb"][m])
-        j = layout.place[y[at]]
-        loss -= float(lw[np.arange(len(at)), j].sum())
-        e = np.exp(lw)
-        e[np.arange(len(at)), j] -= 1
-        g["w"][m], g["wb"][m] = e.T @ s, e.sum(0)
-        dh[at] += e @ p["w"][m]
+    g = {name: np.zeros_like(p[name]) for name in ("u", "w", "wb")}
+    flat, at = states.reshape(-1, k), np.flatnonzero(ys.ravel() >= 0)
+    order, q, edges = _by_symbol(layout, ys.ravel()[at])
+    at = at[order]
+    s, rows = flat[at], np.arange(len(at))
+    a, e, total = _softmax(s @ p["c"] + p["cb"])
+    c = q // layout.width
+    loss = float(np.log(total).sum()) - float(a[rows, c].sum())
+    e /= total[:, None]
+    e[rows, c] -= 1
+    g["c"], g["cb"] = s.T @ e, e.sum(0)
+    ds = e @ p["c"].T
+    for m, (i, j) in zip(map(layout.members, range(layout.classes)), zip(edges, edges[1:])):
+        if i < j:
+            own, place = s[i:j], q[i:j] - m.start
+            a, e, total = _softmax(own @ p["w"][m].T + p["wb"][m])
+            loss += float(np.log(total).sum()) - float(a[rows[: j - i], place].sum())
+            e /= total[:, None]
+            e[rows[: j - i], place] -= 1
+            g["w"][m], g["wb"][m] = e.T @ own, e.sum(0)
+            ds[i:j] += e @ p["w"][m]
+    dh = np.zeros((t * n, k), h0.dtype)
+    dh[at] = ds
     dh = dh.reshape(t, n, k)
     uz, un = p["u"][:, : 2 * k], p["u"][:, 2 * k :]
-    later, das = np.zeros((n, k), np.float32), np.empty((t, n, 3 * k), np.float32)
+    later, das = np.zeros((n, k), h0.dtype), np.empty((t, n, 3 * k), h0.dtype)
     for i in range(t - 1, -1, -1):
         h, z, r, cand = keep[i]
         dn = later + dh[i]
-        da = das[i]
-        da[:, 2 * k :] = dn * (1 - z) * (1 - cand * cand)
+        da, away = das[i], dn * (1 - z)
+        da[:, 2 * k :] = away * (1 - cand * cand)
         drh = da[:, 2 * k :] @ un.T
-        da[:, :k] = dn * (h - cand) * z * (1 - z)
+        da[:, :k] = away * (h - cand) * z
         da[:, k : 2 * k] = drh * h * r * (1 - r)
-        g["u"][:, : 2 * k] += h.T @ da[:, : 2 * k]
-        g["u"][:, 2 * k :] += (r * h).T @ da[:, 2 * k :]
         later = dn * z + drh * r + da[:, : 2 * k] @ uz.T
-        later = np.where(fresh[i][:, None], np.float32(0), later)
+        later *= ~fresh[i][:, None]
+    # The products over all steps at once.
+    hs, rh = np.concatenate([x[0] for x in keep]), np.concatenate([x[2] * x[0] for x in keep])
     flat_da = das.reshape(-1, 3 * k)
+    g["u"][:, : 2 * k], g["u"][:, 2 * k :] = hs.T @ flat_da[:, : 2 * k], rh.T @ flat_da[:, 2 * k :]
     g["b"] = flat_da.sum(0)
-    np.add.at(g["x"], xs.ravel(), flat_da)
+    order = np.argsort(xs.ravel().astype(layout.kind), kind="stable")
+    read = xs.ravel()[order]
+    starts = np.flatnonzero(np.r_[True, read[1:] != read[:-1]])
+    g["x"] = (read[starts], np.add.reduceat(flat_da[order], starts, 0))
     return loss, g, states[-1]
 
 
 class Trainer:
-    """Truncated backpropagation with Adam over a stream of documents, dealt into STREAMS lanes."""
+    """Truncated backpropagation over a stream of documents, dealt into STREAMS lanes; steps are scaled by the gradients' mean squares."""
 
     def __init__(self, p: dict, layout: Layout, rate: float):
         self.p, self.layout, self.rate = {k: v.copy() for k, v in p.items()}, layout, rate
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+        self.v = {k: np.zeros_like(x) for k, x in p.items()}
         self.t, self.loss, self.tokens = 0, 0.0, 0
         self.pending: list[np.ndarray] = []
         self.held = 0
@@ -192,168 +233,195 @@ class Trainer:
     def flush(self) -> None:
         if not self.held:
             return
-        y = np.concatenate(self.pending)
+        y = np.concatenate(self.pending).astype(np.int64)
         self.pending, self.held = [], 0
         lanes = max(1, min(STREAMS, len(y) // WINDOW))
-        y = y[: len(y) // lanes * lanes].reshape(lanes, -1).T
-        x = np.vstack([np.full((1, lanes), END), y[:-1]])
+        steps = -(-len(y) // lanes)
+        x = np.concatenate([[END], y[:-1], np.full(steps * lanes - len(y), END)]).reshape(lanes, -1).T
+        y = np.concatenate([y, np.full(steps * lanes - len(y), -1)]).reshape(lanes, -1).T
         h = np.zeros((lanes, HIDDEN), np.float32)
-        for s in range(0, len(y), WINDOW):
+        for s in range(0, steps, WINDOW):
             xs, ys = x[s : s + WINDOW], y[s : s + WINDOW]
-            loss, g, h = backward(self.p, self.layout, h, xs, ys, xs == END)
-            self.update(g, ys.size)
-            self.loss += loss
-            self.tokens += ys.size
+            n = int((ys >= 0).sum())
+            if n:
+                loss, g, h = backward(self.p, self.layout, h, xs, ys, xs == END)
+                self.update(g, n)
+                self.loss += loss
+                self.tokens += n
 
     def update(self, g: dict, n: int) -> None:
         self.t += 1
-        norm = math.sqrt(sum(float((x * x).sum()) for x in g.values())) / n
+        parts = {k: (slice(None), x) if k != "x" else x for k, x in g.items()}
+        norm = math.sqrt(sum(float(np.vdot(x, x)) for _, x in parts.values())) / n
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)) / n)
-        rate = self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for k, x in g.items():
+        rate = np.float32(self.rate * math.sqrt(1 - 0.99**self.t))
+        for k, (at, x) in parts.items():
             x = x * scale
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.001 * (x * x - self.v[k])
-            self.p[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-7))
+            v = self.v[k][at]
+            v += np.float32(0.01) * (x * x - v)
+            self.v[k][at] = v
+            x *= rate
+            x /= np.sqrt(v) + np.float32(1e-6)
+            self.p[k][at] -= x
 
 
 def score_documents(p: dict, layout: Layout, docs: list[np.ndarray]) -> np.ndarray:
-    """ln P of each document's symbols: lanes of documents of like length; a state is carried through all its windows."""
+    """ln P of each document's symbols: documents end to end in lanes of like length; a state is carried through all windows of a document."""
+    lengths = np.array([len(d) for d in docs], np.int64)
+    if not lengths.sum():
+        return np.zeros(len(docs))
+    lanes = int(max(1, min(LANES, len(docs), lengths.sum() // lengths.max())))
+    loads = [(0, i) for i in range(lanes)]
+    order = np.argsort(-lengths, kind="stable").tolist()
+    places = []
+    for i in order:
+        load, lane = heapq.heappop(loads)
+        places.append((load, lane))
+        heapq.heappush(loads, (load + int(lengths[i]), lane))
+    y = np.full((lanes, max(loads)[0]), -1, np.int32)
+    fresh = np.zeros(y.shape, bool)
+    for i, (at, lane) in zip(order, places):
+        y[lane, at : at + lengths[i]] = docs[i]
+        fresh[lane, at : at + 1] = True
+    y, fresh = y.T.copy(), fresh.T.copy()
+    got = np.zeros(y.shape)
+    h, last = np.zeros((lanes, HIDDEN), np.float32), np.full(lanes, END, np.int32)
+    for s in range(0, len(y), WINDOW):
+        ys = y[s : s + WINDOW]
+        states = np.empty((*ys.shape, HIDDEN), np.float32)
+        for t in range(len(ys)):
+            new = fresh[s + t]
+            h, *_ = step(p, h * ~new[:, None], np.where(new, END, last))
+            states[t] = h
+            last = np.maximum(ys[t], 0)
+        own = ys >= 0
+        got[s : s + WINDOW][own] = log_probability(p, layout, states[own], ys[own])
+    sums = got.T.ravel()
     out = np.zeros(len(docs))
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    for b in range(0, len(order), LANES):
-        at = np.array(order[b : b + LANES])
-        lengths = np.array([len(docs[i]) for i in at])
-        h, last = np.zeros((len(at), HIDDEN), np.float32), np.full(len(at), END)
-        for s in range(0, int(lengths[0]), WINDOW):
-            live = int((lengths > s).sum())
-            width = min(WINDOW, int(lengths[0]) - s)
-            y = np.zeros((live, width), np.int64)
-            for i in range(live):
-                part = docs[at[i]][s : s + width]
-                y[i, : len(part)] = part
-            h, last = h[:live], last[:live]
-            states = np.empty((live, width, HIDDEN), np.float32)
-            for t in range(width):
-                h, *_ = step(p, h, last)
-                states[:, t] = h
-                last = y[:, t]
-            own = np.arange(s, s + width)[None] < lengths[:live, None]
-            got = log_probability(p, layout, states[own], y[own])
-            out[at[:live]] += np.bincount(np.nonzero(own)[0], got, live)
+    for i, (at, lane) in zip(order, places):
+        out[i] = sums[lane * len(y) + at : lane * len(y) + at + lengths[i]].sum()
     return out
 
 
+CHUNKS = "kind int, chunk bigint, pos int, h1 bigint, h2 bigint, shape int, n bigint, page int, docs array<bigint>, learn binary, lengths binary, codes binary"
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds. Of a chunk: kind 0, doc ids, learn flags, lengths and token numbers. Of a token of it: kind 1, number, count."""
+    """Rows of two kinds. kind 0, a token of a chunk: its number there, hash, shape and count in learning documents. kind 1, a page of it: doc ids, learn flags, lengths, tokens' numbers."""
 
     def run(batches):
-        from uuid import uuid4
-
         import pyarrow as pa
+        import xxhash
+        from pyspark import TaskContext
 
-        names = ["chunk", "kind", "pos", "token", "n", "docs", "learn", "lengths", "codes"]
-
-        def emit(rows):
-            chunk = uuid4().int & ((1 << 63) - 1)
-            number: dict[bytes, int] = {}
-            lengths, codes = [], []
-            for _, _, text in rows:
-                words = tokens_of(text)
-                codes.append(np.fromiter([number.setdefault(w, len(number)) for w in words], np.int32, len(words)))
-                lengths.append(len(words))
-            learn = np.array([r[1] for r in rows], bool)
-            every = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-            n = np.bincount(every[np.repeat(learn, lengths)], minlength=len(number)) if number else np.zeros(0, np.int64)
-            k, v = len(number), len(number) + 1
-            ids = [pa.scalar(r[0], pa.int64()) for r in rows]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(v, chunk)), pa.array(np.r_[0, np.ones(k)].astype(np.int32)), pa.array(np.r_[0, np.arange(k)].astype(np.int32)),
-                    pa.array([None, *number], pa.binary()), pa.array(np.r_[0, n].astype(np.int64)),
-                    pa.array([[x.as_py() for x in ids], *[None] * k], pa.list_(pa.int64())), pa.array([learn.tobytes(), *[None] * k], pa.binary()),
-                    pa.array([np.array(lengths, "<i4").tobytes(), *[None] * k], pa.binary()), pa.array([every.astype("<i4").tobytes(), *[None] * k], pa.binary()),
-                ],
-                names=names,
-            )
-
-        rows, size = [], 0
+        kinds = {"kind": pa.int32(), "chunk": pa.int64(), "pos": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "shape": pa.int32(), "n": pa.int64(), "page": pa.int32(), "docs": pa.list_(pa.int64()), "learn": pa.binary(), "lengths": pa.binary(), "codes": pa.binary()}
+
+        def rows(size: int, **has) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(has[k], t) if k in has else pa.nulls(size, t) for k, t in kinds.items()], names=list(kinds))
+
+        first = TaskContext.get().partitionId() << 32
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        counts, size, page, ids, flags, codes = np.zeros(0, np.int64), 0, 0, [], [], []
+
+        def number_of(words):
+            return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+
+        def end_page():
+            nonlocal counts, page, ids, flags, codes
+            lengths, learn, every = np.array([len(c) for c in codes]), np.array(flags, bool), np.concatenate(codes)
+            counts = np.concatenate([counts, np.zeros(len(number) - len(counts), np.int64)])
+            counts += np.bincount(every[np.repeat(learn, lengths)], minlength=len(number))
+            out = rows(1, kind=[1], chunk=[first], page=[page], docs=[ids], learn=[learn.tobytes()], lengths=[lengths.astype("<i4").tobytes()], codes=[every.astype("<i4").tobytes()])
+            page, ids, flags, codes = page + 1, [], [], []
+            return out
+
+        def end_chunk():
+            nonlocal first, counts, size, page
+            words = list(number)
+            for i in range(0, len(words), 100_000):
+                part = words[i : i + 100_000]
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in part), "<i8").reshape(-1, 2)
+                k = len(part)
+                yield rows(k, kind=np.zeros(k, np.int32), chunk=np.full(k, first), pos=np.arange(i, i + k, dtype=np.int32), h1=h[:, 0], h2=h[:, 1], shape=np.array([shape_of(w) for w in part], np.int32), n=counts[i : i + k])
+            number.clear()
+            first, counts, size, page = first + 1, np.zeros(0, np.int64), 0, 0
+
+        held = 0
         for b in batches:
             for doc, learn, text in zip(b.column("doc_id").to_pylist(), b.column("learn").to_pylist(), as_bytes(b.column("text"))):
-                if rows and (len(rows) >= CHUNK_DOCS or size + len(text) > CHUNK_BYTES):
-                    yield emit(rows)
-                    rows, size = [], 0
-                rows.append((doc, learn, text))
-                size += len(text)
-        if rows:
-            yield emit(rows)
+                ids.append(doc), flags.append(learn), codes.append(number_of(tokens_of(text)))
+                held, size = held + len(codes[-1]) + 1, size + len(text)
+                if held >= PAGE_TOKENS or size >= CHUNK_BYTES:
+                    yield end_page()
+                    held = 0
+                if size >= CHUNK_BYTES:
+                    yield from end_chunk()
+        if ids:
+            yield end_page()
+        if page:
+            yield from end_chunk()
 
     learn = F.coalesce(crc32_text(F.col("doc_id")) % 5 != 1, F.lit(False))
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", learn.alias("learn"))
-    return src.mapInArrow(run, "chunk bigint, kind int, pos int, token binary, n bigint, docs array<bigint>, learn binary, lengths binary, codes binary")
+    return src.mapInArrow(run, CHUNKS)
 
 
-def _words(b, name="token") -> list[bytes]:
-    return [bytes(x) for x in b.column(name).to_pylist()]
+@dataclass(frozen=True)
+class Corpus:
+    """Exact counts of the learning tokens, ends included, and the symbols that follow from them."""
 
+    layout: Layout
+    total: int
+    distinct: int
+    end: int
+    least: int  # the count of the last head word
+    head: dict[tuple[int, int], int]  # (hash, count) of a head word to its symbol
+    masses: np.ndarray  # of each tail: its words' counts, each plus a half
 
-def encode(table: DataFrame, counts: DataFrame, layout: Layout, total: int, distinct: int, mass: np.ndarray, end: int) -> DataFrame:
-    """One row for each chunk: documents, their symbols (2 bytes each), and what does not depend on the state: base scores, tails' shares."""
-    known = table.where("kind = 1").select("chunk", "pos", "token").join(counts, "token").select("chunk", F.lit(1).alias("kind"), "pos", "token", F.col("c").alias("n"), *(F.lit(None).cast(t).alias(x) for x, t in (("docs", "array<bigint>"), ("learn", "binary"), ("lengths", "binary"), ("codes", "binary"))))
-    rows = known.unionByName(table.where("kind = 0")).repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"))
-    log_base = math.log10(total + 0.5 * (distinct + 1))
 
-    def run(batches):
+def encode(words: DataFrame, pages: DataFrame, corpus: Corpus) -> DataFrame:
+    """One row for each page: documents, their symbols (plus the number of symbols where the word occurs once), and what does not depend on the state."""
+    layout, least = corpus.layout, corpus.least
+    shared = words.sparkSession.sparkContext.broadcast(corpus)
+    # What decides a token's symbol: a head word's hash, or the tail.
+    sign = F.when(F.col("c") >= least, F.col("h1")).otherwise(F.col("shape") % layout.tails)
+    given = words.select("chunk", "pos", "c", sign.alias("sign"))
+
+    def run(tokens, own):
         import pyarrow as pa
 
-        pos, words, n = [], [], []
-        for b in batches:
-            kinds = b.column("kind").to_numpy()
-            edge = [-1, *np.flatnonzero(kinds == 0).tolist()]
-            for i, j in zip(edge, [*edge[1:], b.num_rows]):
-                part = b.slice(i + 1, j - i - 1)
-                pos.append(part.column("pos").to_numpy()), words.extend(_words(part)), n.append(part.column("n").to_numpy())
-                if j == b.num_rows:
-                    continue
-                r = b.slice(j, 1).to_pylist()[0]
-                lengths, codes = np.frombuffer(r["lengths"], "<i4"), np.frombuffer(r["codes"], "<i4")
-                at = np.concatenate(pos) if pos else np.zeros(0, int)
-                c = np.zeros(len(words), np.int64)
-                symbol, share = np.zeros(len(words), np.int64), np.zeros(len(words))
-                count = np.concatenate(n) if n else np.zeros(0, np.int64)
-                c[at] = count
-                for k, w, x in zip(at.tolist(), words, count.tolist()):
-                    if x:
-                        symbol[k] = layout.head.get(w) or layout.tail(class_of(w))
-                tail = symbol >= 2 + len(layout.head)
-                share[tail] = np.log10((c[tail] + 0.5) / mass[layout.klass[symbol[tail]]])
-                base = np.log10(c + 0.5) - log_base
-                docs = np.repeat(np.arange(len(lengths)), lengths)
-                learn = np.frombuffer(r["learn"], bool)
-                s = symbol[codes]
-                # In learning, words that occur once stand for the unknown word, every other time.
-                once = (c[codes] == 1) & (np.arange(len(codes)) % 2 == 0) & learn[docs] if len(codes) else np.zeros(0, bool)
-                ends = np.cumsum(lengths)
-                out = np.insert(s, ends, END).astype("<u2")
-                hidden = np.insert(np.where(once, UNKNOWN, s), ends, END).astype("<u2")
-                add = lambda x: np.bincount(docs, x, len(lengths))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "docs": pa.array([r["docs"]], pa.list_(pa.int64())), "learn": [r["learn"]], "lengths": [(lengths + 1).astype("<i4").tobytes()], "symbols": [out.tobytes()], "training": [hidden.tobytes()],
-                        "known": [(add(c[codes] > 0) + (end > 0)).astype("<i8").tobytes()], "base": [(add(base[codes]) + math.log10(end + 0.5) - log_base).astype("<f8").tobytes()], "shares": [add(share[codes]).astype("<f8").tobytes()],
-                    }
-                )
-                pos, words, n = [], [], []
-
-    return rows.mapInArrow(run, "docs array<bigint>, learn binary, lengths binary, symbols binary, training binary, known binary, base binary, shares binary")
-
-
-def _training(b):
-    """Symbols of each learning document of a batch of chunks."""
-    for r in b.select(["learn", "lengths", "training"]).to_pylist():
-        for own, ok in zip(np.split(np.frombuffer(r["training"], "<u2").astype(np.int64), np.cumsum(np.frombuffer(r["lengths"], "<i4"))[:-1]), np.frombuffer(r["learn"], bool)):
-            if ok:
-                yield own
+        k = shared.value
+        log_base = math.log10(k.total + 0.5 * (k.distinct + 1))
+        at, n, sign = (tokens.column(x).to_numpy() for x in ("pos", "c", "sign"))
+        c, symbol, share = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.zeros(len(at))
+        c[at] = n
+        which = np.where(n > 0, 2 + k.layout.head + sign % k.layout.tails, UNKNOWN)
+        often = np.flatnonzero(n >= k.least)
+        # A word as frequent as the last head word, but not of the head, has the tail of its hash.
+        which[often] = [k.head.get(x, y) for x, y in zip(zip(sign[often].tolist(), n[often].tolist()), which[often].tolist())]
+        symbol[at] = which
+        tail = symbol >= 2 + k.layout.head
+        share[tail] = np.log10((c[tail] + 0.5) / k.masses[symbol[tail] - 2 - k.layout.head])
+        base = np.log10(c + 0.5) - log_base
+        stored = symbol + k.layout.symbols * ((c == 1) & tail)
+        out = []
+        for r in sorted(own.to_pylist(), key=lambda r: r["page"]):
+            lengths, codes = np.frombuffer(r["lengths"], "<i4"), np.frombuffer(r["codes"], "<i4")
+            docs = np.repeat(np.arange(len(lengths)), lengths)
+            add = lambda x: np.bincount(docs, x[codes], len(lengths))
+            out.append(
+                {
+                    "chunk": r["chunk"], "page": r["page"], "docs": r["docs"], "learn": r["learn"], "lengths": (lengths + 1).astype("<i4").tobytes(),
+                    "symbols": np.insert(stored[codes], np.cumsum(lengths), END).astype(k.layout.kind).tobytes(),
+                    "known": (add(c > 0) + (k.end > 0)).astype("<i8").tobytes(), "base": (add(base) + math.log10(k.end + 0.5) - log_base).astype("<f8").tobytes(), "shares": add(share).astype("<f8").tobytes(),
+                }
+            )
+        kinds = [("chunk", pa.int64()), ("page", pa.int32()), ("docs", pa.list_(pa.int64())), *((x, pa.binary()) for x in ("learn", "lengths", "symbols", "known", "base", "shares"))]
+        return pa.Table.from_pylist(out, pa.schema(kinds))
+
+    kind = "chunk bigint, page int, docs array<bigint>, learn binary, lengths binary, symbols binary, known binary, base binary, shares binary"
+    return given.groupBy("chunk").cogroup(pages.groupBy("chunk")).applyInArrow(run, kind)
 
 
 def pack(p: dict) -> bytes:
@@ -370,120 +438,128 @@ def unpack(raw: bytes, like: dict) -> dict:
 
 
 def averaged(rows: DataFrame, like: dict, groups: int = 32) -> dict:
-    """The token-weighted mean of rows (g, tokens, weights): first in groups, then over groups."""
+    """The token-weighted mean of rows (task, tokens, weights): first in groups of tasks, then over groups, in order."""
 
     def mean(batches):
         import pyarrow as pa
 
         total: dict = {}
         for b in batches:
-            for g, n, w in zip(b.column("g").to_pylist(), b.column("tokens").to_pylist(), b.column("weights").to_pylist()):
+            for task, n, w in zip(b.column("task").to_pylist(), b.column("tokens").to_pylist(), b.column("weights").to_pylist()):
+                g = task % groups
                 n0, w0 = total.get(g, (0, 0.0))
                 total[g] = (n0 + n, w0 + n * np.frombuffer(w, "<f4").astype(np.float64))
         for g, (n, w) in total.items():
-            yield pa.RecordBatch.from_pydict({"g": pa.array([g], pa.int32()), "tokens": pa.array([n], pa.int64()), "weights": [(w / max(1, n)).astype("<f4").tobytes()]})
+            yield pa.RecordBatch.from_pydict({"task": pa.array([g], pa.int32()), "tokens": pa.array([n], pa.int64()), "weights": [(w / max(1, n)).astype("<f4").tobytes()]})
 
-    kind = "g int, tokens bigint, weights binary"
-    got = rows.repartition(groups, "g").mapInArrow(mean, kind).where("tokens > 0").collect()
+    kind = "task int, tokens bigint, weights binary"
+    got = rows.repartition(groups, F.col("task") % groups).sortWithinPartitions("task").mapInArrow(mean, kind).where("tokens > 0").collect()
     if not got:
         return like
+    got.sort(key=lambda r: r.task)
     n = np.array([r.tokens for r in got], np.float64)
-    return unpack((np.array([np.frombuffer(r.weights, "<f4") for r in got], np.float64).T @ (n / n.sum())).astype("<f4").tobytes(), like)
+    total = sum(x * np.frombuffer(r.weights, "<f4").astype(np.float64) for x, r in zip(n / n.sum(), got))
+    return unpack(total.astype("<f4").tobytes(), like)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
-    spark = ready(docs.sparkSession)
-    table = spark.read.parquet(_written(chunks(docs)))
-    counts = cut(table.where("kind = 1").groupBy("token").agg(F.sum("n").alias("c")))
-    size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
-    end = docs.where(F.coalesce(crc32_text(F.col("doc_id")) % 5 != 1, F.lit(False))).count()
-    total, distinct = int(size.n) + end, int(size.v) + (end > 0)
-    top = counts.where("c > 0").orderBy(F.desc("c"), "token").limit(HEAD).collect()
-    layout = Layout.of([bytes(r.token) for r in top])
-    head = set(layout.head)
-
-    def masses(batches):
-        import pyarrow as pa
-
-        m = np.zeros((2, CLASSES))
-        for b in batches:
-            for w, c in zip(_words(b), b.column("c").to_pylist()):
-                if c and w not in head:
-                    k = class_of(w)
-                    m[0, k] += c + 0.5
-                    m[1, k] += c
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(m[0]), pa.array(m[1])], names=["k", "mass", "n"])
-
-    mass, tails = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.mapInArrow(masses, "k bigint, mass double, n double").groupBy("k").agg(F.sum("mass").alias("mass"), F.sum("n").alias("n")).collect():
-        mass[r.k], tails[r.k] = r.mass, r.n
-    start = initial(layout, np.array([size.once / 2, end, *(r.c for r in top), *tails[1:]], np.float64))
-    made = spark.read.parquet(_written(encode(table, counts, layout, total, distinct, mass, end)))
-    warm = Trainer(start, layout, RATE)
-    sample = _warm_sample(made)
-    for _ in range(WARM_ROUNDS):
-        for own in sample:
-            warm.add(own)
-        warm.flush()
-    first = warm.p
-    shared = spark.sparkContext.broadcast((layout, first))  # a fixed size, whatever the corpus
+def trained(made: DataFrame, layout: Layout, p: dict, eighths: tuple[int, ...], rate: float) -> dict:
+    """The weights after one round over the learning documents whose place in their page, mod 8, is in eighths."""
+    sc = made.sparkSession.sparkContext
+    shared = sc.broadcast((layout, p))  # of a size that grows as the root of the distinct tokens
 
     def learn(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        t = Trainer(shared.value[1], shared.value[0], RATE / 2)
+        layout, p = shared.value
+        t = Trainer(p, layout, rate)
         for b in batches:
-            for own in _training(b):
-                t.add(own)
+            for r in b.to_pylist():
+                every = np.frombuffer(r["symbols"], layout.kind).astype(np.int64)
+                once = every >= layout.symbols
+                # Words that occur once stand for the unknown word, every other time.
+                every = np.where(once, np.where(np.arange(len(every)) % 2 == 0, UNKNOWN, every - layout.symbols), every)
+                flags = np.frombuffer(r["learn"], bool)
+                for i, own in enumerate(np.split(every, np.cumsum(np.frombuffer(r["lengths"], "<i4"))[:-1])):
+                    if flags[i] and i % 8 in eighths:
+                        t.add(own)
         t.flush()
         if t.tokens:
-            yield pa.RecordBatch.from_pydict({"g": pa.array([TaskContext.get().partitionId() % 32], pa.int32()), "tokens": pa.array([t.tokens], pa.int64()), "weights": [pack(t.p)]})
-
-    final = spark.sparkContext.broadcast((layout, averaged(made.select("learn", "lengths", "training").mapInArrow(learn, "g int, tokens bigint, weights binary"), first)))
+            yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": pa.array([t.tokens], pa.int64()), "weights": [pack(t.p)]})
 
-    def run(batches):
-        import pyarrow as pa
+    out = averaged(made.select("learn", "lengths", "symbols").mapInArrow(learn, "task int, tokens bigint, weights binary"), p)
+    shared.destroy()
+    return out
 
-        layout, p = final.value
-        for b in batches:
-            for r in b.to_pylist():
-                lengths = np.frombuffer(r["lengths"], "<i4")
-                own = np.split(np.frombuffer(r["symbols"], "<u2").astype(np.int64), np.cumsum(lengths)[:-1])
-                got = score_documents(p, layout, own) / math.log(10) + np.frombuffer(r["shares"], "<f8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["docs"], pa.int64()), pa.array(~np.frombuffer(r["learn"], bool)), pa.array(lengths.astype(np.int64)), pa.array(np.frombuffer(r["known"], "<i8")), pa.array(np.full(len(lengths), total)), pa.array(np.frombuffer(r["base"], "<f8")), pa.array(got)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return made.select("docs", "learn", "lengths", "symbols", "known", "base", "shares").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
+def corpus_of(words: DataFrame, end: int) -> tuple[Corpus, np.ndarray]:
+    """The counts, and the symbols' own counts; words: (h1, shape, c, first), one row with `first` for each distinct token."""
+    one = words.where("first and c > 0")
+    size = one.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
+    total, distinct = int(size.n) + end, int(size.v) + (end > 0)
+    layout = Layout.of(int(size.v))
+    top = one.orderBy(F.desc("c"), "h1").limit(layout.head).select("h1", "c").collect()
+    last = top[-1] if top else None
+    out = F.lit(True) if last is None else (F.col("c") < last.c) | ((F.col("c") == last.c) & (F.col("h1") > last.h1))
+    least = last.c if last else 1 << 62
+    # The tail of a word, as encode() finds it.
+    tail = F.pmod(F.when(F.col("c") >= least, F.col("h1")).otherwise(F.col("shape") % layout.tails), F.lit(layout.tails))
+    masses, sums = np.zeros(layout.tails), np.zeros(layout.tails)
+    for r in one.where(out).groupBy(tail.alias("k")).agg(F.sum(F.col("c") + 0.5).alias("mass"), F.sum("c").alias("n")).collect():
+        masses[r.k], sums[r.k] = r.mass, r.n
+    head = {(r.h1, r.c): i + 2 for i, r in enumerate(top)}
+    return Corpus(layout, total, distinct, end, least, head, masses), np.array([size.once / 2, end, *(r.c for r in top), *sums], np.float64)
 
-def _written(df: DataFrame) -> str:
-    """df as Parquet in the shared folder."""
-    from gridledger.llm.shared import fresh_dir
 
-    folder = fresh_dir(df.sparkSession, "lm")
-    df.write.parquet(folder)
-    return folder
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
+    spark = ready(docs.sparkSession)
+    found, summed, coded = (fresh_dir(spark, f"lm-{x}") for x in ("chunks", "words", "pages"))
+    chunks(docs).write.option("compression", "zstd").parquet(found)
+    rows = spark.read.schema(CHUNKS).parquet(found)
+    same = Window.partitionBy("h1", "h2")
+    tokens = rows.where("kind = 0").select("chunk", "pos", "h1", "h2", "shape", "n")
+    tokens.select("chunk", "pos", "h1", "shape", F.sum("n").over(same).alias("c"), (F.col("chunk") == F.min("chunk").over(same)).alias("first")).write.option("compression", "zstd").parquet(summed)
+    words = spark.read.parquet(summed)
+    end = docs.where(F.coalesce(crc32_text(F.col("doc_id")) % 5 != 1, F.lit(False))).count()
+    corpus, counts = corpus_of(words, end)
+    layout = corpus.layout
+    pages = rows.where("kind = 1").select("chunk", "page", "docs", "learn", "lengths", "codes")
+    # Files small enough that the next stages share them out evenly, and not more than the corpus needs.
+    share = max(8, min(256, pages.count() // (4 * spark.sparkContext.defaultParallelism)))
+    encode(words, pages, corpus).write.option("compression", "zstd").option("maxRecordsPerFile", share).parquet(coded)
+    discard(spark, found), discard(spark, summed)
+    made = spark.read.parquet(coded)
+    p = initial(layout, counts)
+    for i, eighths in enumerate(ROUNDS):
+        p = trained(made, layout, p, eighths, RATE / (i + 1) ** 0.5)
+    final = spark.sparkContext.broadcast((layout, corpus.total, p))
 
+    def run(batches):
+        import pyarrow as pa
 
-def _warm_sample(made: DataFrame) -> list[np.ndarray]:
-    """Up to WARM_TOKENS tokens of learning documents, in each task's share, for the initial weights."""
-    parts = max(1, made.rdd.getNumPartitions())
+        layout, total, p = final.value
 
-    def few(batches):
-        import pyarrow as pa
+        def emit(rows):
+            lengths = np.concatenate([np.frombuffer(r["lengths"], "<i4") for r in rows])
+            symbols = np.concatenate([np.frombuffer(r["symbols"], layout.kind) for r in rows]).astype(np.int32)
+            symbols -= layout.symbols * (symbols >= layout.symbols)
+            got = score_documents(p, layout, np.split(symbols, np.cumsum(lengths)[:-1])) / math.log(10)
+            part = lambda k, t: np.concatenate([np.frombuffer(r[k], t) for r in rows])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([d for r in rows for d in r["docs"]], pa.int64()), pa.array(~part("learn", bool)), pa.array(lengths.astype(np.int64)), pa.array(part("known", "<i8")), pa.array(np.full(len(lengths), total)), pa.array(part("base", "<f8")), pa.array(got + part("shares", "<f8"))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
-        left = WARM_TOKENS // parts + 1000
+        rows, held = [], 0
         for b in batches:
-            for own in _training(b):
-                if left <= 0:
-                    return
-                own, left = own[:left], left - len(own)
-                yield pa.RecordBatch.from_pydict({"s": [own.astype("<u2").tobytes()]})
-
-    rows = sorted(r.s for r in made.select("learn", "lengths", "training").mapInArrow(few, "s binary").collect())
-    out = [np.frombuffer(x, "<u2").astype(np.int64) for x in rows]
-    return [out[i] for i in np.random.default_rng(3).permutation(len(out))]
+            for r in b.to_pylist():
+                rows.append(r)
+                held += len(r["symbols"])
+                if held >= TOGETHER * np.dtype(layout.kind).itemsize:
+                    yield emit(rows)
+                    rows, held = [], 0
+        if rows:
+            yield emit(rows)
+
+    return made.select("docs", "learn", "lengths", "symbols", "known", "base", "shares").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
