@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 
 from gridledger.llm.shared import as_bytes, crc32_text, discard, fresh_dir, ready
 
-HEAD_ROOTS, TAIL_SHARE, HIDDEN = 1, 4, 24
+HEAD_ROOTS, TAIL_SHARE, HIDDEN = 1, 4, 16
 #: Bytes of text of a chunk and tokens of a page (but for one document); streams and steps of a training window; scoring lanes and tokens scored at a time.
 CHUNK_BYTES, PAGE_TOKENS, STREAMS, WINDOW, LANES, TOGETHER = 32 << 20, 1 << 17, 512, 16, 512, 4 << 20
 #: The eighths of the learning documents that each round of averaging trains on, and the rate of learning.
-ROUNDS, RATE = ((0,), (1,), (2, 3), (4, 5, 6, 7)), 4e-3
+ROUNDS, RATE = ((0,), (1,), (2, 3), (4, 5, 6, 7)), 1.2e-2
 #: Logits lie within this; the exponentials of a class then never overflow.
 LOGIT = np.float32(60)
 UNKNOWN, END = 0, 1
@@ -89,7 +89,7 @@ class Layout:
 
 
 def initial(layout: Layout, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights that start from the symbols' own frequencies."""
+    """Weights that start from the symbols' own frequencies; the last row of c and the last column of w are biases."""
     rng, s, h = np.random.default_rng(7), layout.symbols, HIDDEN
     p = counts + 0.5
     mass = np.array([p[layout.members(k)].sum() for k in range(layout.classes)])
@@ -97,10 +97,8 @@ def initial(layout: Layout, counts: np.ndarray) -> dict[str, np.ndarray]:
         "x": rng.normal(0, 0.1, (s, 3 * h)).astype(np.float32),
         "u": rng.normal(0, 0.5 / math.sqrt(h), (h, 3 * h)).astype(np.float32),
         "b": np.zeros(3 * h, np.float32),
-        "c": np.zeros((h, layout.classes), np.float32),
-        "cb": np.log(mass / mass.sum()).astype(np.float32),
-        "w": np.zeros((s, h), np.float32),
-        "wb": np.concatenate([np.log(p[m] / p[m].sum()) for m in map(layout.members, range(layout.classes))]).astype(np.float32),
+        "c": np.vstack([np.zeros((h, layout.classes)), np.log(mass / mass.sum())]).astype(np.float32),
+        "w": np.hstack([np.zeros((s, h)), np.concatenate([np.log(p[m] / p[m].sum()) for m in map(layout.members, range(layout.classes))])[:, None]]).astype(np.float32),
     }
 
 
@@ -128,6 +126,13 @@ def _softmax(a: np.ndarray):
     return a, e, e @ np.ones(e.shape[1], e.dtype)
 
 
+def _with_one(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """These rows of the states, and a one for the biases."""
+    out = np.empty((len(rows), h.shape[1] + 1), h.dtype)
+    out[:, :-1], out[:, -1] = h[rows], 1
+    return out
+
+
 def _by_symbol(layout: Layout, y: np.ndarray):
     """An order of the rows by symbol, the symbols in it, and where each class begins."""
     order = np.argsort(y.astype(layout.kind), kind="stable")
@@ -138,13 +143,13 @@ def _by_symbol(layout: Layout, y: np.ndarray):
 def log_probability(p: dict, layout: Layout, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """ln P(symbol y | state h), rows of h."""
     order, q, edges = _by_symbol(layout, y)
-    s, rows = h[order], np.arange(len(y))
-    a, _, total = _softmax(s @ p["c"] + p["cb"])
+    s, rows = _with_one(h, order), np.arange(len(y))
+    a, _, total = _softmax(s @ p["c"])
     got = a[rows, q // layout.width].astype(np.float64) - np.log(total)
     for k, (i, j) in enumerate(zip(edges, edges[1:])):
         if i < j:
             m = layout.members(k)
-            a, _, total = _softmax(s[i:j] @ p["w"][m].T + p["wb"][m])
+            a, _, total = _softmax(s[i:j] @ p["w"][m].T)
             got[i:j] += a[rows[: j - i], q[i:j] - m.start] - np.log(total)
     out = np.empty(len(y))
     out[order] = got
@@ -165,46 +170,50 @@ def backward(p: dict, layout: Layout, h0: np.ndarray, xs: np.ndarray, ys: np.nda
         new, z, r, cand = step(p, h, xs[i])
         keep.append((h, z, r, cand))
         states[i] = h = new
-    g = {name: np.zeros_like(p[name]) for name in ("u", "w", "wb")}
+    g = {name: np.zeros_like(p[name]) for name in ("u", "w")}
     flat, at = states.reshape(-1, k), np.flatnonzero(ys.ravel() >= 0)
     order, q, edges = _by_symbol(layout, ys.ravel()[at])
     at = at[order]
-    s, rows = flat[at], np.arange(len(at))
-    a, e, total = _softmax(s @ p["c"] + p["cb"])
+    s, rows = _with_one(flat, at), np.arange(len(at))
+    a, e, total = _softmax(s @ p["c"])
     c = q // layout.width
     loss = float(np.log(total).sum()) - float(a[rows, c].sum())
     e /= total[:, None]
     e[rows, c] -= 1
-    g["c"], g["cb"] = s.T @ e, e.sum(0)
-    ds = e @ p["c"].T
+    g["c"] = s.T @ e
+    ds = e @ p["c"][:k].T
     for m, (i, j) in zip(map(layout.members, range(layout.classes)), zip(edges, edges[1:])):
         if i < j:
             own, place = s[i:j], q[i:j] - m.start
-            a, e, total = _softmax(own @ p["w"][m].T + p["wb"][m])
+            a, e, total = _softmax(own @ p["w"][m].T)
             loss += float(np.log(total).sum()) - float(a[rows[: j - i], place].sum())
             e /= total[:, None]
             e[rows[: j - i], place] -= 1
-            g["w"][m], g["wb"][m] = e.T @ own, e.sum(0)
-            ds[i:j] += e @ p["w"][m]
+            g["w"][m] = e.T @ own
+            ds[i:j] += e @ p["w"][m, :k]
     dh = np.zeros((t * n, k), h0.dtype)
     dh[at] = ds
     dh = dh.reshape(t, n, k)
     uz, un = p["u"][:, : 2 * k], p["u"][:, 2 * k :]
+    # What a step multiplies its gradients by, over all steps at once: of the candidate, of z and of r.
+    hs, zs, rs, ns = (np.array(x) for x in zip(*keep))
+    away, rh = 1 - zs, rs * hs
+    of_n, of_z, of_r = away * (1 - ns * ns), away * (hs - ns) * zs, rh * (1 - rs)
     later, das = np.zeros((n, k), h0.dtype), np.empty((t, n, 3 * k), h0.dtype)
     for i in range(t - 1, -1, -1):
-        h, z, r, cand = keep[i]
         dn = later + dh[i]
-        da, away = das[i], dn * (1 - z)
-        da[:, 2 * k :] = away * (1 - cand * cand)
-        drh = da[:, 2 * k :] @ un.T
-        da[:, :k] = away * (h - cand) * z
-        da[:, k : 2 * k] = drh * h * r * (1 - r)
-        later = dn * z + drh * r + da[:, : 2 * k] @ uz.T
-        later *= ~fresh[i][:, None]
+        da_n = dn * of_n[i]
+        drh = da_n @ un.T
+        da = das[i]
+        da[:, :k], da[:, k : 2 * k], da[:, 2 * k :] = dn * of_z[i], drh * of_r[i], da_n
+        dn *= zs[i]
+        drh *= rs[i]
+        dn += drh
+        dn += da[:, : 2 * k] @ uz.T
+        later = dn * ~fresh[i][:, None]
     # The products over all steps at once.
-    hs, rh = np.concatenate([x[0] for x in keep]), np.concatenate([x[2] * x[0] for x in keep])
     flat_da = das.reshape(-1, 3 * k)
-    g["u"][:, : 2 * k], g["u"][:, 2 * k :] = hs.T @ flat_da[:, : 2 * k], rh.T @ flat_da[:, 2 * k :]
+    g["u"][:, : 2 * k], g["u"][:, 2 * k :] = hs.reshape(-1, k).T @ flat_da[:, : 2 * k], rh.reshape(-1, k).T @ flat_da[:, 2 * k :]
     g["b"] = flat_da.sum(0)
     order = np.argsort(xs.ravel().astype(layout.kind), kind="stable")
     read = xs.ravel()[order]

@@ -131,7 +131,7 @@ def test_gradients():
     for k in p:
         for _ in range(4):
             i = tuple(int(rng.integers(0, s)) for s in p[k].shape)
-            i = (int(xs[2, 1]), *i[1:]) if k == "x" else (int(ys[1, 1]), *i[1:]) if k in ("w", "wb") else i
+            i = (int(xs[2, 1]), *i[1:]) if k == "x" else (int(ys[1, 1]), *i[1:]) if k in ("w",) else i
             old, e = p[k][i], 1e-4
             p[k][i] = old + e
             up = loss()
