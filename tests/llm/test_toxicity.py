@@ -77,7 +77,7 @@ def test_drop_keeps_columns_and_clean_rows(docs, labels, judged):
 
 def test_every_document_and_word_is_mined(spark):
     """The insult stands behind 500 other words, and in more documents than 600."""
-    seen = spark.createDataFrame([(f"a{i}xy", 1, 7) for i in range(500)] + [("zidiot", 1, 7)] + [(f"idiot{k}", 1, k) for k in range(100, 800)], "word string, toxic int, sketch bigint")
+    seen = spark.createDataFrame([(f"a{i}xy", 1, 7) for i in range(500)] + [("zidiot", 1, 7)] + [(f"idiot{k}", 1, k) for k in range(100, 800)], "word string, toxic int, doc bigint")
     counts = seen.groupBy("word").agg(t.F.lit(1).alias("t"), t.F.lit(0).alias("c"))
     lone = t.lone_words(seen, counts)
     own = t.self_kernel(["idiot"])
