@@ -3,9 +3,10 @@
 Sizes are words ([^\\x20\\x09-\\x0D]+; null text: 0). A source's documents are dealt by hash into permuted blocks of about
 BLOCK_DOCS documents. A source with target t and size z is taken floor(t / z) times whole, and once more up to the word
 where the target is met, so that its taken words equal the rounded target; only the document at that word is taken in part.
-The draws of each source (copies of blocks) are split among output shards by a binary tree: at each node, the quotas of the
-left half follow the multivariate hypergeometric law. Each shard then has exact quotas, takes the next so many blocks of each
-source's permutation, which no other shard takes, and shuffles its documents locally by hash.
+The draws of each source (copies of blocks) are split among output shards, as many as the corpus fills, by a binary tree: at
+each node, the quotas of the left half follow the multivariate hypergeometric law. Each shard then has exact quotas, takes the
+next so many blocks of each source's permutation, which no other shard takes, and shuffles its documents locally by hash. What
+the mix takes of a document is the sum of its rows in the shards.
 
 A null source is a source of its own, the last. Repeated rows are rows of their own. An empty table gives no rows.
 """
@@ -21,6 +22,10 @@ from gridledger.llm.shared import as_bytes, cut, ready
 BLOCK_DOCS = 1024
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
+#: Words of an output shard, about; shards at least.
+SHARD_WORDS, LEAST_SHARDS = 1 << 25, 8
+#: Blocks of a group of a prefix sum; groups that draws are ranked in; ranks of a tile, by which draws meet shards.
+PREFIX, GROUP_BITS, TILE = 4096, 12, 64
 #: The table of sources is broadcast up to this many rows; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -75,13 +80,36 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int = 64, seed: int = 17, with_row: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: array of (copy, shard, words, place), one for each time the mix takes the
-    document; if `with_row`, also row, a struct of all its columns.
+def numbered(draws: DataFrame, seed: int) -> DataFrame:
+    """draws (s, block, copy) with rank: their place among all of the source, in the order of a hash. Ranks are counted in groups of like hashes."""
+    order = F.xxhash64("s", "block", "copy", F.lit(seed))
+    grouped = draws.withColumn("order", order).withColumn("g", F.shiftright("order", 64 - GROUP_BITS))
+    per = grouped.groupBy("s", "g").agg(F.count("*").alias("n"))  # at most 2 ** GROUP_BITS rows a source
+    before = per.select("s", "g", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("s", "g").orderBy("order", "block", "copy"))
+    return grouped.withColumn("place", place).join(before, ["s", "g"]).select("s", "block", "copy", (F.col("before") + F.col("place") - 1).alias("rank"))
+
+
+def dealt_blocks(draws: DataFrame, leaf: np.ndarray) -> DataFrame:
+    """(s, block, copy, shard) of draws with rank: shard k takes the next leaf[k, s] ranks of source s."""
+    import pyarrow as pa
+
+    first = leaf.cumsum(0) - leaf
+    k, i = np.nonzero(leaf)
+    kinds = pa.schema([("s", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n", pa.int64())])
+    runs = draws.sparkSession.createDataFrame(pa.table([pa.array(i, pa.int32()), pa.array(k, pa.int32()), pa.array(first[k, i]), pa.array(leaf[k, i])], schema=kinds))
+    tiles = runs.withColumn("tile", F.explode(F.expr(f"sequence(first div {TILE}, (first + n - 1) div {TILE})")))
+    here = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+    return draws.withColumn("tile", F.expr(f"rank div {TILE}")).join(tiles, ["s", "tile"]).where(here).select("s", "block", "copy", "shard")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int | None = None, seed: int = 17, with_row: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, s, block, place_in_block (which name a row), copies: array of (copy, shard, words, place),
+    one for each time the mix takes the document; if `with_row`, also row, a struct of all its columns.
 
     place orders a shard's documents. The driver holds one row for each source (data sets, not documents) and, while it
     splits, one count for each source and shard. A source's blocks are numbered by two-level prefix sums: of documents
-    within a block, of block totals within a source; no task sees a whole source's documents.
+    within a block, of blocks within groups, of groups within a source; no task sees a whole source.
     """
     spark = ready(docs.sparkSession)
     base = cut(sized(docs, seed))
@@ -93,38 +121,47 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int = 64,
         t = int(want[r.source] + 0.5)
         whole = t // int(r.z) if r.z else 0
         rows.append((i, r.source, int(r.z), float(want[r.source]), whole, t - whole * int(r.z), -(-r.docs // BLOCK_DOCS)))
+    shards = shards or max(LEAST_SHARDS, -(-sum(r[2] for r in rows) // SHARD_WORDS))
     sources = spark.createDataFrame(rows, "s int, source string, source_size bigint, target double, whole bigint, rest bigint, blocks bigint")
     unit = (F.shiftrightunsigned("u", 11).cast("double")) / float(1 << 53)
     sources = F.broadcast(sources) if len(rows) <= BROADCAST_SOURCES else sources
     placed = (sized(docs, seed, True) if with_row else base).join(sources.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("block", F.least(F.floor(unit * F.col("blocks")), F.col("blocks") - 1))
-    totals = placed.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
-    before = Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = cut(totals.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))))
+    totals = cut(placed.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("whole").alias("whole"), F.first("rest").alias("rest")).withColumn("g", F.expr(f"block div {PREFIX}")))
+    earlier = lambda w: F.coalesce(F.sum("words").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = totals.groupBy("s", "g").agg(F.sum("words").alias("words")).select("s", "g", earlier(Window.partitionBy("s").orderBy("g")).alias("before"))
+    blocks = totals.withColumn("start", earlier(Window.partitionBy("s", "g").orderBy("block"))).join(groups, ["s", "g"])
+    blocks = cut(blocks.withColumn("start", F.col("start") + F.col("before")).drop("before", "g"))
     times = F.col("whole") + F.when(F.col("start") < F.col("rest"), 1).otherwise(0)
     draws = blocks.withColumn("times", times).where("times > 0").select("s", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)).alias("copy"))
-    draws = cut(draws.withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("s", "block", "copy", F.lit(seed)), "block", "copy")) - 1))
+    draws = cut(numbered(draws, seed))
     count = {r.s: r.n for r in draws.groupBy("s").agg(F.count("*").alias("n")).collect()}
     leaf = split_quotas(np.array([count.get(r[0], 0) for r in rows], np.int64), shards, seed)
-    first = np.vstack([np.zeros((1, len(rows)), np.int64), leaf.cumsum(0)[:-1]])
-    cuts = spark.createDataFrame([(i, [int(x) for x in first[:, i]]) for i in range(len(rows))], "s int, firsts array<bigint>")
-    drawn = draws.join(cuts, "s").select("s", "block", "copy", F.expr("size(filter(firsts, x -> x <= rank)) - 1").alias("shard"))
-    lists = drawn.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("drawn"))
+    lists = dealt_blocks(draws, leaf).groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("drawn"))
     per_block = cut(blocks.select("s", "block", "start").join(lists, ["s", "block"], "left"))
-    within = Window.partitionBy("s", "block").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = placed.withColumn("in_block", F.coalesce(F.sum("size").over(within), F.lit(0))).join(per_block, ["s", "block"])
+    within = Window.partitionBy("s", "block").orderBy("u", "doc_id", "size")
+    at = placed.withColumn("in_block", earlier_sizes(within)).withColumn("place_in_block", F.row_number().over(within)).join(per_block, ["s", "block"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("in_block")))
     copies = F.transform("drawn", lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"), F.when(d["copy"] < F.col("whole"), F.col("size")).otherwise(part).alias("words"), F.xxhash64(d["shard"], d["copy"], F.col("u"), F.lit(seed)).alias("place")))
     copies = F.filter(F.coalesce(copies, F.array().cast("array<struct<copy:bigint,shard:int,words:bigint,place:bigint>>")), lambda c: (c["words"] > 0) | (c["copy"] < F.col("whole")))
-    return at.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), *(["row"] if with_row else []))
+    return at.select("doc_id", "source", "size", "source_size", "target", "s", "block", "place_in_block", copies.alias("copies"), *(["row"] if with_row else []))
+
+
+def earlier_sizes(within):
+    return F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def in_shards(took: DataFrame, shards: int | None = None) -> DataFrame:
+    """Rows of mix() with `c`, one of their copies, where the shards have them: a shard's rows together, in its own order."""
+    return (took.repartition(shards, F.col("c.shard")) if shards else took.repartition(F.col("c.shard"))).sortWithinPartitions("c.shard", "c.place")
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int = 64, seed: int = 17) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int | None = None, seed: int = 17) -> DataFrame:
     """The mix itself: docs' rows as often as it takes them, by shard and in each shard's order.
 
     A row taken in part has its text cut after the last word taken; n_chars, where there is one, is the length of what is taken.
     """
     took = mix(docs, weights, most, shards, seed, with_row=True).select("row", "size", F.explode("copies").alias("c"))
-    dealt = took.repartition(shards, F.col("c.shard")).sortWithinPartitions("c.shard", "c.place")
+    dealt = in_shards(took, shards)
     space = r"[\x20\x09-\x0D]"
     words = F.split(F.col("row.text"), rf"(?<=[^\x20\x09-\x0D])(?={space})", -1)
     text = F.when(F.col("c.words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("c.words").cast("int")), "")).otherwise(F.col("row.text"))
@@ -135,5 +172,9 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards
 
 
 def taken(mixed: DataFrame) -> DataFrame:
-    """The digest of mix(): the words that the mix takes of each document, repeats counted."""
-    return mixed.select("doc_id", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("bigint"), lambda a, c: a + c["words"]).alias("taken"))
+    """The digest of mix(): of each document the words that its rows in the shards hold, repeats counted, and the shards, as often as they hold it."""
+    key = ["s", "block", "place_in_block"]
+    mixed = cut(mixed)
+    rows = in_shards(mixed.select(*key, F.explode("copies").alias("c")))
+    got = rows.groupBy(*key).agg(F.sum("c.words").alias("taken"), F.sort_array(F.collect_list("c.shard")).alias("shards"))
+    return mixed.join(got, key, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))

@@ -37,6 +37,45 @@ def test_quotas_and_digest(request, monkeypatch, which, block):
     assert again == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("which", ["edge_docs", "few_docs"])
+def test_shards_against_a_brute_force_tree(request, spark, monkeypatch, which):
+    """Every draw of every block lies in the shard that one list of all draws of its source, cut at the tree's quotas, gives; taken is what the shards hold."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(mixing, "TILE", 4)
+    monkeypatch.setattr(mixing, "PREFIX", 5)
+    docs = request.getfixturevalue(which)
+    mixed = mixing.mix(docs, shards=5).collect()
+    taken = mixing.taken(mixing.mix(docs, shards=5)).collect()
+    assert sorted((r.doc_id, r.taken, r.shards) for r in taken) == sorted((r.doc_id, sum(c.words for c in r.copies), sorted(c.shard for c in r.copies)) for r in mixed)
+    size = defaultdict(int)
+    for r in mixed:
+        size[r.source] += r["size"]
+    whole = {r.source: int(r.target + 0.5) // size[r.source] if size[r.source] else 0 for r in mixed}
+    rest = {r.source: int(r.target + 0.5) - whole[r.source] * size[r.source] for r in mixed}
+    number = {r.source: r.s for r in mixed}
+    blocks = defaultdict(lambda: defaultdict(int))
+    for r in mixed:
+        blocks[r.source][r.block] += r["size"]
+    draws = defaultdict(list)
+    for source, own in blocks.items():
+        start = 0
+        for b in sorted(own):
+            draws[number[source]] += [(number[source], b, c) for c in range(whole[source] + (start < rest[source]))]
+            start += own[b]
+    every = [d for own in draws.values() for d in own]
+    order = {tuple(r)[:3]: r.h for r in spark.createDataFrame(every, "s int, block bigint, copy bigint").selectExpr("s", "block", "copy", "xxhash64(s, block, copy, 17) as h").collect()}
+    leaf = mixing.split_quotas(np.array([len(draws[i]) for i in range(len(number))]), 5, 17)
+    want = {}
+    for s, own in draws.items():
+        own.sort(key=lambda d: (order[d], d))
+        ends = leaf[:, s].cumsum()
+        for rank, d in enumerate(own):
+            want[d] = int(np.searchsorted(ends, rank, "right"))
+    held = {(r.s, r.block, c.copy): c.shard for r in mixed for c in r.copies}
+    assert held and all(want[d] == shard for d, shard in held.items())
+    assert all((r.s, r.block, c) in held for r in mixed if r["size"] for c in range(whole[r.source]))
+
+
 def test_target_shares():
     assert mixing.targets({"a": 100, "b": 100, "c": 100, None: 100}) == pytest.approx({"a": 400 * 5 / 13, "b": 400 * 2 / 13, "c": 400 / 13, None: 400 * 5 / 13})
     capped = mixing.targets({"a": 1, "b": 99})
