@@ -121,11 +121,23 @@ def reference_kind(reference: Column) -> Column:
     return F.concat_ws("_", place, F.when(reference.contains(":"), "range").otherwise("cell"))
 
 
+def _without_references(formula: Column) -> tuple[Column, Column]:
+    """A formula without its =, and the same with its references blanked."""
+    body = F.regexp_replace(F.trim(formula), "^=", "")
+    return body, F.regexp_replace(body, rf"(?i)(?<![A-Za-z0-9_$.!']){REFERENCE}", " ")
+
+
 def additive(formula: Column) -> Column:
-    """Only references and numbers joined by + and -, or one SUM."""
-    f = normal_formula(formula)
-    one = r"(?:[A-Z$]+[0-9$]+|[0-9.]+)"
-    return f.rlike(rf"^-?{one}(?:[+-]{one})+$") | f.rlike(r"^SUM\([A-Z0-9$:,]+\)$")
+    """It reads cells and only adds, subtracts or folds them and numbers (SUM, AVERAGE, MIN, MAX)."""
+    body, blank = _without_references(formula)
+    rest = F.regexp_replace(F.regexp_replace(blank, r"(?i)\b(?:sum|average|min|max)\s*\(", "("), "[0-9.]+", " ")
+    return F.coalesce((blank != body) & rest.rlike(r"^[\s(),+-]*$"), F.lit(False))
+
+
+def pure_sum(formula: Column) -> Column:
+    """It is nothing but sums of cells: no number typed in, no subtraction, no other function."""
+    body, rest = _without_references(formula)
+    return F.coalesce((rest != body) & F.regexp_replace(rest, r"(?i)\bsum\s*\(", "(").rlike(r"^[\s(),+]*$"), F.lit(False))
 
 
 def divisor_scale(formula: Column) -> Column:

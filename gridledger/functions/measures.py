@@ -28,8 +28,11 @@ UNITS = {
     "mva": ("mva",),
     "kv": ("kv",),
 }
+# Units of technical figures, units that a rate is per, and units of time.
 TECHNICAL = ("kwp", "mwp", "kwh_m2", "kwh_kwp", "mwh_yr", "tpd", "klpd", "mva", "kv")
-RATE_UNITS = "kwh|kw|unit|month|year|annum|day|sqm|sqft|mt|tonne|ton"
+RATE_UNITS = ("kwh", "kw", "unit", "month", "year", "annum", "day", "sqm", "sqft", "mt", "tonne", "ton")
+TIMES = {"years": ("year", "years", "yr", "yrs"), "months": ("month", "months", "mo", "mos"), "weeks": ("week", "weeks"), "days": ("day", "days")}
+MONEY_MARKS = ("₹", "rs", "rs.", "inr")
 FIGURE = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 
 
@@ -58,23 +61,39 @@ def quantity(text: Column) -> Column:
     return F.struct(F.when(science, _number(t)).when(ok, _number(F.regexp_extract(t, whole, 1))).alias("value"), F.when(~science & ok & (rest != ""), name).alias("unit"))
 
 
+def _split(text: Column) -> Column:
+    """struct(mark, figure, unit): what stands before the first figure, the figure, and what stands after it, in lower case without spaces."""
+    t = F.regexp_replace(F.lower(text), r"\s+", "")
+    bare = lambda k: F.regexp_extract(t, r"^([^0-9]*)([0-9]+(?:\.[0-9]+)?)?(.*)$", k)
+    return F.struct(bare(1).alias("mark"), F.when(bare(2) != "", bare(2)).alias("figure"), bare(3).alias("unit"))
+
+
 def rate(text: Column) -> Column:
     """struct(value, unit, stated): percent, percent a year, money per unit, a technical quantity, or a bare number without unit."""
     t = F.trim(text)
-    percent, yearly = r"^([0-9]+(?:\.[0-9]+)?)\s*%$", r"(?i)^([0-9]+(?:\.[0-9]+)?)\s*%\s*(?:p\.?a\.?|per\s+annum)$"
-    per = rf"(?i)^(?:₹|rs\.?|inr)?\s*([0-9]+(?:\.[0-9]+)?)\s*/\s*({RATE_UNITS})$"
     q = quantity(t)
-    technical = q["unit"].isin(*TECHNICAL)
-    value = F.when(t.rlike(percent), F.regexp_extract(t, percent, 1).try_cast("double")).when(t.rlike(yearly), F.regexp_extract(t, yearly, 1).try_cast("double"))
-    value = value.when(t.rlike(per), F.regexp_extract(t, per, 1).try_cast("double")).when(technical, q["value"]).otherwise(_number(t))
-    name = F.when(t.rlike(percent), "percent").when(t.rlike(yearly), "percent_pa").when(t.rlike(per), F.lower(F.regexp_extract(t, per, 2))).when(technical, q["unit"])
-    return F.struct(value.alias("value"), name.alias("unit"), (name.isNotNull() & value.isNotNull()).alias("stated"))
+
+    def read(r: Column) -> Column:
+        s, plain = r["s"], r["s"]["mark"] == ""
+        unit_of = F.replace(s["unit"], F.lit("."), F.lit(""))
+        name = F.when(plain & (s["unit"] == "%"), "percent").when(plain & unit_of.isin("%pa", "%perannum"), "percent_pa")
+        per = (plain | s["mark"].isin(*MONEY_MARKS)) & s["unit"].startswith("/") & F.substring(s["unit"], 2, 99).isin(*RATE_UNITS)
+        name = name.when(per, F.substring(s["unit"], 2, 99))
+        technical = name.isNull() & r["q"]["unit"].isin(*TECHNICAL)
+        value = F.when(name.isNotNull(), s["figure"].try_cast("double")).when(technical, r["q"]["value"]).otherwise(_number(r["t"]))
+        name = F.coalesce(name, F.when(technical, r["q"]["unit"]))
+        return F.struct(value.alias("value"), name.alias("unit"), (name.isNotNull() & value.isNotNull()).alias("stated"))
+
+    return F.transform(F.array(F.struct(t.alias("t"), _split(t).alias("s"), q.alias("q"))), read)[0]
 
 
 def duration(text: Column) -> Column:
     """struct(value, unit): years, months, weeks or days as stated, never converted."""
-    t = F.trim(text)
-    whole = r"(?i)^([0-9]+(?:\.[0-9]+)?)\s*(years?|yrs?|months?|mos?|days?|weeks?)?$"
-    u = F.lower(F.regexp_extract(t, whole, 2))
-    name = F.when(u.rlike("^y"), "years").when(u.rlike("^mo"), "months").when(u.rlike("^w"), "weeks").when(u.rlike("^d"), "days")
-    return F.struct(F.when(t.rlike(whole), F.regexp_extract(t, whole, 1).try_cast("double")).alias("value"), F.when(t.rlike(whole), name).alias("unit"))
+    table = F.create_map(*(F.lit(x) for name, words in TIMES.items() for w in words for x in (w, name)))
+
+    def read(s: Column) -> Column:
+        name = F.try_element_at(table, s["unit"])
+        ok = (s["mark"] == "") & ((s["unit"] == "") | name.isNotNull())
+        return F.struct(F.when(ok, s["figure"].try_cast("double")).alias("value"), F.when(ok & s["figure"].isNotNull(), name).alias("unit"))
+
+    return F.transform(F.array(_split(F.trim(text))), read)[0]

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the session's folder (spark.checkpoint.dir; one of our own where none is set)."""
+    """df checkpointed in the session's folder (spark.checkpoint.dir; a local session without one gets a folder of its own)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridledger-"))
+        path = sc.getConf().get("spark.checkpoint.dir", None)
+        if not path and not sc._jsc.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="gridledger-"))
     return df.checkpoint(eager=True)
 
 
@@ -92,6 +95,86 @@ def levels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         done = cut(done.unionByName(ready))
 
 
+def settled_scales(same: DataFrame, required: DataFrame) -> DataFrame:
+    """(node, component, scale): unknowns joined by same (a, b), and the scale that required (node, scale) asks of their component; null if
+    none or several are asked. Nodes that stand in one of the two tables only are components too."""
+    joined = connected(same)
+    alone = required.select("node").distinct().join(joined.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
+    every = cut(joined.unionByName(alone))
+    asked = every.join(required, "node").groupBy("component").agg(F.min("scale").alias("lo"), F.max("scale").alias("hi"))
+    scales = asked.select("component", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("scale"))
+    return every.join(scales, "component", "left").select("node", "component", "scale")
+
+
+def regions(cells: DataFrame, reach: int = 2, least: int = 3) -> DataFrame:
+    """Blocks of cells (sheet, row, col, number: whether it is one) within `reach` rows and columns of each other that hold `least` numbers:
+    sheet, region (its first cell, by row, as row and column), top, left, bottom, right, cells, numbers. Neighbours meet by equal places."""
+    place = F.struct("sheet", "row", "col")
+    near = [(r, c) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1)]  # a cell is its own neighbour, so that it stands alone at worst
+    moves = F.explode(F.array(*(F.struct((F.col("row") + r).alias("r"), (F.col("col") + c).alias("c")) for r, c in near))).alias("to")
+    one = cells.groupBy("sheet", "row", "col").agg(F.max("number").alias("number"))
+    beside = one.select(place.alias("a"), "sheet", moves).select("a", "sheet", F.col("to.r").alias("row"), F.col("to.c").alias("col"))
+    edges = beside.join(one.select("sheet", "row", "col"), ["sheet", "row", "col"]).select("a", place.alias("b"))
+    member = connected(edges)
+    found = member.select("component", "node.sheet", "node.row", "node.col").join(one, ["sheet", "row", "col"])
+    box = found.groupBy("sheet", "component").agg(F.min("row").alias("top"), F.min("col").alias("left"), F.max("row").alias("bottom"), F.max("col").alias("right"), F.count("*").alias("cells"), F.sum(F.col("number").cast("bigint")).alias("numbers"))
+    return box.where(F.col("numbers") >= least).select("sheet", F.struct("component.row", "component.col").alias("region"), "top", "left", "bottom", "right", "cells", "numbers")
+
+
+def grown(boxes: list[list[int]], texts: set[tuple[int, int]], numbers: set[tuple[int, int]], rounds: int = 4) -> list[list[int]]:
+    """Boxes [top, left, bottom, right] of one sheet with the words along their edges: in turn left, right, above and below, as long as a round
+    gains, the runs of free cells on the line outside that are words only and no longer than the edge. texts and numbers: free cells."""
+    texts, out = set(texts), []
+    for top, left, bottom, right in boxes:
+        for _ in range(rounds):
+            gained = False
+            for side in range(4):
+                line = (left - 1, right + 1, top - 1, bottom + 1)[side]
+                lo, hi = (top, bottom) if side < 2 else (left, right)
+                at = (lambda k: (k, line)) if side < 2 else (lambda k: (line, k))
+                run = _runs(at, lo, hi, texts, numbers)
+                if run:
+                    gained, texts = True, texts - run
+                    left, right, top, bottom = (line if side == k else x for k, x in enumerate((left, right, top, bottom)))
+            if not gained:
+                break
+        out.append([top, left, bottom, right])
+    return out
+
+
+def _runs(at, lo: int, hi: int, texts: set, numbers: set) -> set:
+    """The cells of the runs on a line that lie within lo to hi and hold no number."""
+    out, k, free = set(), lo, lambda k: at(k) in texts or at(k) in numbers
+    while free(k - 1):  # a run that comes in from outside lies not within
+        k -= 1
+    while k <= hi:
+        end = k
+        while free(end):
+            end += 1
+        run = {at(i) for i in range(k, end)}
+        if run and k >= lo and end - 1 <= hi and not run & numbers:
+            out |= run
+        k = end + 1
+    return out
+
+
+def absorb_fringe(cells: DataFrame, boxes: DataFrame, rounds: int = 4) -> DataFrame:
+    """boxes (sheet, top, left, bottom, right) of a sheet's regions with the words beside them; cells (sheet, row, col, number). One sheet is one group."""
+
+    def one(key, cells, boxes):
+        import pandas as pd
+
+        own = sorted(map(tuple, boxes[["top", "left", "bottom", "right"]].astype(int).to_numpy().tolist()))
+        inside = lambda r, c: any(t <= r <= b and l <= c <= w for t, l, b, w in own)
+        free = [(int(r), int(c), bool(n)) for r, c, n in zip(cells["row"], cells["col"], cells["number"]) if not inside(r, c)]
+        got = grown([list(x) for x in own], {(r, c) for r, c, n in free if not n}, {(r, c) for r, c, n in free if n}, rounds)
+        return pd.DataFrame([(key[0], *b) for b in got], columns=["sheet", "top", "left", "bottom", "right"])
+
+    kind = dict(boxes.dtypes)["sheet"]
+    out = f"sheet {kind}, top int, left int, bottom int, right int"
+    return cells.select("sheet", "row", "col", "number").groupBy("sheet").cogroup(boxes.groupBy("sheet")).applyInPandas(one, out)
+
+
 def peel_merge(vectors: dict[str, list[float]], threshold: float = 0.72) -> dict[str, str]:
     """Agglomerative merge of a bounded set of named centroids: the most similar pair at or above threshold merges (of equals
     the later), its centroid is the mean at unit length; each name's final group is the least name in it."""

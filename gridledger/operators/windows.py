@@ -43,3 +43,15 @@ def fill_down(c: Column, keys: list[str], order: list[Column], reach: int | None
     """The nearest value that is not null at or above."""
     first = Window.unboundedPreceding if reach is None else -reach
     return F.last(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(first, 0))
+
+
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """rows with place, their number from 1 in the order of all: sorted by range, numbered in each part, parts' sizes summed up (one row a part)."""
+    from gridledger.operators.graph import cut
+
+    sorted_ = cut(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = sorted_.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return numbered.withColumn("place", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_id", "_before")

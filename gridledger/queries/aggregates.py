@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridledger.functions import text, vectors
 from gridledger.operators import aggregates as agg
+from gridledger.operators.windows import placed
 from gridledger.registry import query, table
 
 
@@ -63,12 +64,12 @@ def ag9(spark, d):
     return table(spark, d, "lineitem").where("l_extendedprice > 0").groupBy("l_suppkey").agg(F.round(F.median(F.log10("l_extendedprice")), 6).alias("anchor"))
 
 
-_MODE = "(SELECT l_partkey % 50 AS g, CASE WHEN l_orderkey % 4 > 0 THEN l_returnflag END AS v FROM lineitem WHERE l_suppkey % 10 <> 3 AND (l_returnflag = 'N' OR l_partkey % 50 > 20))"
+_MODE = "(SELECT l_partkey % 50 AS g, CASE WHEN l_orderkey % 4 > 0 THEN l_returnflag END AS v FROM lineitem WHERE (l_returnflag = 'N' OR l_partkey % 50 > 20))"
 
 
 @query("AG10_dominant_value", f"SELECT g, v, n FROM (SELECT g, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY g) AS whole, sum(CASE WHEN v IS NOT NULL THEN count(*) ELSE 0 END) OVER (PARTITION BY g) AS typed, row_number() OVER (PARTITION BY g ORDER BY CASE WHEN v IS NULL THEN -1 ELSE count(*) END DESC, v DESC) AS k FROM {_MODE} GROUP BY g, v) WHERE k = 1 AND typed >= 0.5 * whole AND n >= 0.7 * typed")
 def ag10(spark, d):
-    l = table(spark, d, "lineitem").where("l_suppkey % 10 <> 3").select((F.col("l_partkey") % 50).alias("g"), F.when(F.col("l_orderkey") % 4 > 0, F.col("l_returnflag")).alias("v"), "l_returnflag")
+    l = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("g"), F.when(F.col("l_orderkey") % 4 > 0, F.col("l_returnflag")).alias("v"), "l_returnflag")
     return agg.dominant(l.where("l_returnflag = 'N' or g > 20"), ["g"], "v")
 
 
@@ -191,25 +192,23 @@ def ag29(spark, d):
     return p.join(styles, keys).select("style", "p_partkey")
 
 
-@query("OR1_fact_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 ELSE 6 END, o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders QUALIFY place <= 100")
+@query("OR1_fact_order", "SELECT o_orderkey, row_number() OVER (ORDER BY CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 0 WHEN '2' THEN 1 WHEN '3' THEN 2 ELSE 6 END, o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def or1(spark, d):
     p = F.substring("o_orderpriority", 1, 1)
     rank = F.when(p == "1", 0).when(p == "2", 1).when(p == "3", 2).otherwise(6)
-    top = table(spark, d, "orders").orderBy(rank, "o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(100)
-    from pyspark.sql import Window
-
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(rank, "o_orderpriority", F.desc("o_totalprice"), "o_orderkey")).cast("bigint").alias("place"))
+    return placed(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), rank, "o_orderpriority", F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "place")
 
 
-@query("OR2_order_by_scalar", "SELECT o_orderkey FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey ORDER BY s DESC, o_orderkey LIMIT 50")
+@query("OR2_order_by_scalar", "SELECT o_orderkey, row_number() OVER (ORDER BY s DESC, o_orderkey) AS place FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def or2(spark, d):
     s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("s"))
-    return table(spark, d, "orders").join(s, "o_orderkey").orderBy(F.desc("s"), "o_orderkey").limit(50).select("o_orderkey")
+    return placed(table(spark, d, "orders").select("o_orderkey").join(s, "o_orderkey"), F.desc("s"), "o_orderkey").select("o_orderkey", "place")
 
 
-@query("OR3_reading_order", "SELECT conv_id, turn FROM conversations ORDER BY conv_id, coalesce(CASE WHEN turn % 2 = 0 THEN turn END, turn + 100) LIMIT 100")
+@query("OR3_reading_order", "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, coalesce(CASE WHEN turn % 2 = 0 THEN turn END, turn + 100), turn) AS place FROM conversations")
 def or3(spark, d):
-    return table(spark, d, "conversations").orderBy("conv_id", F.coalesce(F.when(F.col("turn") % 2 == 0, F.col("turn")), F.col("turn") + 100)).limit(100).select("conv_id", "turn")
+    order = F.coalesce(F.when(F.col("turn") % 2 == 0, F.col("turn")), F.col("turn") + 100)
+    return placed(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", order, "turn").select("conv_id", "turn", "place")
 
 
 @query("OR4_similar_top_k", "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS score FROM embeddings WHERE vec_id <> 7 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)) DESC, vec_id LIMIT 5")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridledger.functions import dates, money, text
+from gridledger.functions import dates, money, text, vectors
 from gridledger.operators import joins, typing
 from gridledger.operators import versions as v
 from gridledger.operators import windows as w
+from gridledger.queries.scalars import by_cases
 from gridledger.registry import query, table
 
 
@@ -31,17 +32,21 @@ def fn7(spark, d):
     return found.groupBy("o_orderkey").agg(F.min_by("day", "i").alias("found"))
 
 
-@query("FN24_label_normal", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'sales ( rs. in lacs )' ELSE 'net worth 10 %' END AS label FROM part")
-def fn24(spark, d):
-    raw = F.when(F.col("p_partkey") % 2 == 0, "Sales(Rs. In  Lacs)").otherwise("NetWorth 10%")
-    s = F.regexp_replace(F.regexp_replace(raw, "([a-z])([A-Z])", "$1 $2"), r"([()%\[\]])", " $1 ")
-    return table(spark, d, "part").select("p_partkey", text.squeeze(F.lower(s)).alias("label"))
+by_cases(
+    "FN24_label_normal", "part", "p_partkey", "label",
+    [
+        ("Sales(Rs. In  Lacs)", "sales ( rs. in lacs )"), ("NetWorth 10%", "net worth 10%"), ("Rs.crore", "rs. crore"), ("PBDIT", "pbdit"), ("INR/kWh", "inr /k wh"), ("Growth%", "growth %"), ("zero\u200bwidth", "zerowidth"), ("Rate:Fixed", "rate : fixed"),
+        ("Ｆｕｌｌ", "full"), ("a\u00a0b", "a b"), ("Others", "others"), ("[x]y", "[ x ] y"),
+    ],
+    text.normal_label,
+)
 
 
-@query("FN35_vector_codec", "SELECT vec_id, 256 AS bytes, label FROM embeddings")
+@query("FN35_vector_codec", "SELECT vec_id, len(embedding) * 4 AS bytes, label, true AS same, round(CAST(embedding[2] AS DOUBLE), 5) AS second FROM embeddings")
 def fn35(spark, d):
-    """float32 little-endian: four bytes a component."""
-    return table(spark, d, "embeddings").select("vec_id", (F.size("embedding") * 4).alias("bytes"), "label")
+    """To little-endian float32 and back."""
+    e = table(spark, d, "embeddings").withColumn("blob", vectors.to_bytes(F.col("embedding"))).withColumn("back", vectors.from_bytes(F.col("blob")))
+    return e.select("vec_id", F.length("blob").cast("bigint").alias("bytes"), "label", (F.col("back") == F.col("embedding").cast("array<float>")).alias("same"), F.round(F.get("back", F.lit(1)).cast("double"), 5).alias("second"))
 
 
 @query("XO3_clause_alias", "SELECT doc_id, CASE WHEN m + a = 1 THEN CASE WHEN m = 1 THEN 'mit' ELSE 'apache' END END AS clause FROM (SELECT doc_id, CAST(contains(t, ' mit license ') AS INT) AS m, CAST(contains(t, ' apache license ') AS INT) AS a FROM (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents))")

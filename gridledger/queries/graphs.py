@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from gridledger.operators import graph
 from gridledger.registry import query, table
 
-# Cell i of a sheet of 5,000 reads cells 2i + 1 and 3i + 2; every 50th reads its half, which closes loops.
-_EDGES = "(SELECT DISTINCT a, b FROM (SELECT event_id AS a, unnest([event_id * 2 + 1, event_id * 3 + 2, CASE WHEN event_id % 50 = 0 THEN event_id // 2 ELSE event_id * 2 + 1 END]) AS b FROM events WHERE event_id < 5000) WHERE b < 5000)"
+# Cell i reads cells 2i + 1 and 3i + 2, where there are such; every 50th reads its half, which closes loops.
+_EDGES = "(SELECT DISTINCT a, b FROM (SELECT event_id AS a, unnest([event_id * 2 + 1, event_id * 3 + 2, CASE WHEN event_id % 50 = 0 THEN event_id // 2 ELSE event_id * 2 + 1 END]) AS b FROM events) WHERE b IN (SELECT event_id FROM events))"
 
 
 def _edges(spark, d):
-    i = F.col("event_id")
+    i, cells = F.col("event_id"), table(spark, d, "events")
     b = F.array(i * 2 + 1, i * 3 + 2, F.when(i % 50 == 0, F.floor(i / 2)).otherwise(i * 2 + 1))
-    return table(spark, d, "events").where("event_id < 5000").select(i.alias("a"), F.explode(b).alias("b")).where("b < 5000").distinct()
+    return cells.select(i.alias("a"), F.explode(b).alias("b")).distinct().join(cells.select(i.alias("b")), "b", "left_semi").select("a", "b")
 
 
 @query("GR1_formula_links", f"SELECT a, b FROM {_EDGES}")
@@ -40,19 +40,21 @@ def gr5(spark, d):
     return graph.lineage(_edges(spark, d), start, 30).select("node", "depth")
 
 
-@query("GR6_supersession_history", "WITH RECURSIVE n AS (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders), h(start, node, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 500 = 1 UNION ALL SELECT h.start, n.nxt, h.depth + 1 FROM h JOIN n ON n.o_orderkey = h.node WHERE n.nxt IS NOT NULL) SELECT * FROM h")
+@query("GR6_supersession_history", "WITH RECURSIVE n AS (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt FROM orders), h(start, node, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT h.start, n.nxt, h.depth + 1 FROM h JOIN n ON n.o_orderkey = h.node WHERE n.nxt IS NOT NULL) SELECT * FROM h")
 def gr6(spark, d):
+    """The histories asked for: those of ids divisible by 50, over all orders."""
     from gridledger.operators.windows import supersede
 
     o = supersede(table(spark, d, "orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "o_orderkey")
     e = o.where("superseded_by is not null").select(F.col("o_orderkey").alias("a"), F.col("superseded_by").alias("b"))
-    return graph.history(e, o.where("o_orderkey % 500 = 1").select(F.col("o_orderkey").alias("start")))
+    return graph.history(e, o.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("start")))
 
 
-@query("GR7_sheet_closure", f"WITH RECURSIVE e AS (SELECT DISTINCT a % 97 AS a, b % 97 AS b FROM {_EDGES} WHERE a % 13 = 0), r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT e.b FROM r JOIN e ON r.node = e.a) SELECT node FROM r")
+@query("GR7_sheet_closure", f"WITH RECURSIVE e AS (SELECT DISTINCT a // 100 AS a, b // 100 AS b FROM {_EDGES}), r(node) AS (SELECT CAST(1 AS BIGINT) UNION SELECT e.b FROM r JOIN e ON r.node = e.a) SELECT node FROM r")
 def gr7(spark, d):
-    e = _edges(spark, d).where("a % 13 = 0").select((F.col("a") % 97).alias("a"), (F.col("b") % 97).alias("b"))
-    return graph.lineage(e, spark.createDataFrame([(0,)], "start bigint")).select("node")
+    """Sheets of a hundred cells each: those that the second one reads, directly or not."""
+    e = _edges(spark, d).select(F.floor(F.col("a") / 100).alias("a"), F.floor(F.col("b") / 100).alias("b"))
+    return graph.lineage(e, spark.createDataFrame([(1,)], "start bigint")).select("node")
 
 
 @query("GR8_ready_levels", f"WITH RECURSIVE e AS (SELECT a, b FROM {_EDGES} WHERE b > a), n AS (SELECT a AS node FROM e UNION SELECT b FROM e), l(node, level) AS (SELECT node, 0 FROM n WHERE node NOT IN (SELECT a FROM e) UNION SELECT e.a, l.level + 1 FROM l JOIN e ON e.b = l.node) SELECT node, max(level) AS level FROM l GROUP BY 1")
@@ -60,17 +62,48 @@ def gr8(spark, d):
     return graph.levels(_edges(spark, d).where("b > a"))
 
 
-@query("GR10_components", f"WITH RECURSIVE e AS (SELECT a, b FROM {_EDGES} WHERE a % 7 = 3 UNION SELECT b, a FROM {_EDGES} WHERE a % 7 = 3), r(s, n) AS (SELECT a, a FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.n) SELECT s AS node, min(n) AS component FROM r GROUP BY 1")
+# Cells that are added to each other stand in runs of up to ten; purchases say their scale, by their value.
+_SAME = "(SELECT event_id AS a, event_id + 1 AS b FROM events WHERE event_id % 10 < 9 AND event_id % 3 > 0 AND event_id + 1 IN (SELECT event_id FROM events))"
+_ASKED = "(SELECT event_id AS node, CASE WHEN value > 50 THEN 'lakh' ELSE 'crore' END AS scale FROM events WHERE event_type = 'purchase')"
+
+
+@query(
+    "GR10_unstated_scales",
+    f"""WITH RECURSIVE e AS (SELECT a, b FROM {_SAME} UNION SELECT b, a FROM {_SAME}), r(s, n) AS (SELECT node, node FROM (SELECT a AS node FROM e UNION SELECT node FROM {_ASKED}) UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.n),
+    c AS (SELECT s AS node, min(n) AS component FROM r GROUP BY 1), q AS (SELECT component, min(scale) AS lo, max(scale) AS hi FROM c JOIN {_ASKED} USING (node) GROUP BY 1)
+    SELECT node, component, CASE WHEN lo = hi THEN lo END AS scale FROM c LEFT JOIN q USING (component)""",
+)
 def gr10(spark, d):
-    return graph.connected(_edges(spark, d).where("a % 7 = 3"))
+    e, i = table(spark, d, "events"), F.col("event_id")
+    same = e.where("event_id % 10 < 9 and event_id % 3 > 0").select(i.alias("a"), (i + 1).alias("b")).join(e.select(i.alias("b")), "b", "left_semi").select("a", "b")
+    asked = e.where("event_type = 'purchase'").select(i.alias("node"), F.when(F.col("value") > 50, "lakh").otherwise("crore").alias("scale"))
+    return graph.settled_scales(same, asked)
+
+
+# A sheet for each part: its lines by quantity and line number; returned lines hold words.
+_CELLS = "(SELECT l_partkey AS s, CAST(l_quantity AS INT) AS r, l_linenumber AS c, max(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS num FROM lineitem GROUP BY ALL)"
 
 
-@query("GR11_cell_regions", "WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS s, CAST(l_quantity AS BIGINT) * 3 AS r FROM lineitem WHERE l_suppkey < 20 AND l_discount = 0.1), e AS (SELECT x.s * 1000 + x.r AS a, y.s * 1000 + y.r AS b FROM c x JOIN c y ON x.s = y.s AND abs(x.r - y.r) <= 3 AND x.r <> y.r), w(s, n) AS (SELECT a, a FROM e UNION SELECT w.s, e.b FROM w JOIN e ON e.a = w.n) SELECT component, count(*) AS cells FROM (SELECT s, min(n) AS component FROM w GROUP BY 1) GROUP BY 1 HAVING count(*) >= 3")
+def _cells(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("sheet"), F.col("l_quantity").cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col"), (F.col("l_returnflag") != "R").alias("number"))
+
+
+@query(
+    "GR11_cell_regions",
+    f"""WITH RECURSIVE k AS {_CELLS}, e AS (SELECT x.s, x.r * 100 + x.c AS a, y.r * 100 + y.c AS b FROM k x JOIN k y ON x.s = y.s AND abs(x.r - y.r) <= 2 AND abs(x.c - y.c) <= 2),
+    w(s, a, n) AS (SELECT s, a, a FROM e UNION SELECT w.s, w.a, e.b FROM w JOIN e ON e.s = w.s AND e.a = w.n), m AS (SELECT s, a, min(n) AS g FROM w GROUP BY ALL)
+    SELECT m.s AS sheet, g // 100 AS first_row, g % 100 AS first_col, min(r) AS top, min(c) AS left, max(r) AS bottom, max(c) AS right, count(*) AS cells, sum(num) AS numbers FROM m JOIN k ON k.s = m.s AND k.r * 100 + k.c = m.a GROUP BY ALL HAVING sum(num) >= 3""".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'),
+)
 def gr11(spark, d):
-    c = table(spark, d, "lineitem").where("l_suppkey < 20 and l_discount = 0.1").select(F.col("l_suppkey").alias("s"), (F.col("l_quantity").cast("bigint") * 3).alias("r")).distinct()
-    x = c.select("s", F.col("r"), F.explode(F.array(*(F.col("r") + k for k in (-3, -2, -1, 1, 2, 3)))).alias("q"))
-    e = x.join(c.select("s", F.col("r").alias("q")), ["s", "q"]).select((F.col("s") * 1000 + F.col("r")).alias("a"), (F.col("s") * 1000 + F.col("q")).alias("b"))
-    return graph.connected(e).groupBy("component").agg(F.count("*").alias("cells")).where("cells >= 3")
+    r = graph.regions(_cells(spark, d))
+    return r.select("sheet", F.col("region.row").alias("first_row"), F.col("region.col").alias("first_col"), "top", "left", "bottom", "right", "cells", "numbers")
+
+
+@query("GR12_fringe")
+def gr12(spark, d):
+    """Regions of numbers alone, and the words beside them."""
+    cells = _cells(spark, d).groupBy("sheet", "row", "col").agg(F.max("number").alias("number"))
+    return graph.absorb_fringe(cells, graph.regions(cells.where("number")).select("sheet", "top", "left", "bottom", "right"))
 
 
 @query("GR13_agglomerative_merge")
@@ -79,4 +112,4 @@ def gr13(spark, d):
     from gridledger.functions.vectors import centroids
 
     c = {f"{r.label:04d}": r.centroid for r in centroids(table(spark, d, "embeddings"), "label", "embedding").collect()}
-    return spark.createDataFrame(sorted(graph.peel_merge(c, 0.2).items()), "label string, cluster string")
+    return spark.createDataFrame(sorted(graph.peel_merge(c).items()), "label string, cluster string")

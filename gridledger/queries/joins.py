@@ -151,9 +151,9 @@ def jn8(spark, d):
     return near.where(joins.overlap(c("x0_a"), c("x1_a"), c("x0_b"), c("x1_b")) & joins.overlap(c("y0_a"), c("y1_a"), c("y0_b"), c("y1_b"))).select("a", "b")
 
 
-@query("JN9_pairs_in_group", "SELECT l.l_partkey AS part, l.k AS a, r.k AS b FROM (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS k, l_suppkey, l_extendedprice / l_quantity AS u FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 4 = 0) l JOIN (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS k, l_suppkey, l_extendedprice / l_quantity AS u FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 4 = 0) r ON l.l_partkey = r.l_partkey AND l.k < r.k AND l.l_suppkey <> r.l_suppkey AND abs(l.u - r.u) > greatest(l.u, r.u) * 0.5")
+@query("JN9_pairs_in_group", "SELECT l.l_partkey AS part, l.k AS a, r.k AS b FROM (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS k, l_suppkey, l_extendedprice / l_quantity AS u FROM lineitem WHERE l_returnflag = 'R') l JOIN (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS k, l_suppkey, l_extendedprice / l_quantity AS u FROM lineitem WHERE l_returnflag = 'R') r ON l.l_partkey = r.l_partkey AND l.k < r.k AND l.l_suppkey <> r.l_suppkey AND abs(l.u - r.u) > greatest(l.u, r.u) * 0.5")
 def jn9(spark, d):
-    f = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_partkey % 4 = 0").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("u"))
+    f = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("u"))
     l, r = f.alias("l"), f.alias("r")
     on = (F.col("l.l_partkey") == F.col("r.l_partkey")) & (F.col("l.k") < F.col("r.k")) & (F.col("l.l_suppkey") != F.col("r.l_suppkey"))
     return l.join(r, on).where(F.abs(F.col("l.u") - F.col("r.u")) > F.greatest("l.u", "r.u") * 0.5).select(F.col("l.l_partkey").alias("part"), F.col("l.k").alias("a"), F.col("r.k").alias("b"))
@@ -257,11 +257,11 @@ def jn23(spark, d):
     return table(spark, d, "nation").join(a, "n_nationkey", "left").join(b, "n_nationkey", "left").select("n_nationkey", F.coalesce("a", "b").alias("page"))
 
 
-@query("JN24_slot_comparison", "SELECT a.l_orderkey, a.l_linenumber, a.t <> b.t AS unstable FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS t FROM lineitem) a JOIN (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) + CASE WHEN l_partkey % 10 = 0 THEN 1 ELSE 0 END AS t FROM lineitem WHERE l_suppkey % 2 = 0) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber IS NOT DISTINCT FROM b.l_linenumber")
+@query("JN24_slot_comparison", "SELECT a.l_orderkey, a.l_linenumber, a.t <> b.t AS unstable FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS t FROM lineitem) a JOIN (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) + CASE WHEN l_partkey % 10 = 0 THEN 1 ELSE 0 END AS t FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber IS NOT DISTINCT FROM b.l_linenumber")
 def jn24(spark, d):
     l = table(spark, d, "lineitem")
     a = l.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("t"))
-    b = l.where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), (F.col("l_quantity").cast("int") + (F.col("l_partkey") % 10 == 0).cast("int")).alias("u"))
+    b = l.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), (F.col("l_quantity").cast("int") + (F.col("l_partkey") % 10 == 0).cast("int")).alias("u"))
     return a.join(b, (F.col("l_orderkey") == F.col("o")) & F.col("l_linenumber").eqNullSafe(F.col("n"))).select("l_orderkey", "l_linenumber", (F.col("t") != F.col("u")).alias("unstable"))
 
 

@@ -12,6 +12,18 @@ _MONEY = "CASE o_orderkey % 8 WHEN 0 THEN 'Rs. ' || a || ' lakh' WHEN 1 THEN 'IN
 _ORDERS = f"(SELECT o_orderkey, {_MONEY} AS t FROM (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS a FROM orders))"
 
 
+def by_cases(name: str, from_table: str, key: str, out: str, cases, apply, kind: str = "VARCHAR") -> None:
+    """Registers a query that applies a function to the cases' texts in turn; its SQL lists what the rules of the operator give for each."""
+    lit = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, (bool, int)) else "'" + x.replace("'", "''") + "'"
+    wanted = ", ".join(lit(w) for _, w in cases)
+    sql = f"SELECT {key}, CAST(list_extract([{wanted}], CAST({key} % {len(cases)} AS INT) + 1) AS {kind}) AS {out} FROM {from_table}"
+
+    @query(name, sql)
+    def run(spark, d):
+        t = F.element_at(F.array(*(F.lit(x) for x, _ in cases)), (F.col(key) % len(cases)).cast("int") + 1)
+        return table(spark, d, from_table).select(key, apply(t).alias(out))
+
+
 def _forms(key, amount, forms):
     out = F.when(F.lit(False), "")
     for i, form in enumerate(forms):
@@ -75,11 +87,17 @@ def _date_texts(spark, d):
 
 @query(
     "FN4_date_parse",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, o_orderkey % 6 < 5 AS ok, o_orderkey % 6 NOT IN (3, 4) AS precise FROM orders""",
+    """SELECT o_orderkey, CASE WHEN k < 3 OR k = 6 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, k NOT IN (5, 7) AS ok, k NOT IN (3, 4) AS precise FROM (SELECT o_orderkey, o_orderdate, o_orderkey % 8 AS k FROM orders)""",
 )
 def fn4(spark, d):
-    p = dates.parse(F.col("t"))
-    return _date_texts(spark, d).select("o_orderkey", p["date"].alias("day"), p["ok"].alias("ok"), p["precise"].alias("precise"))
+    """Two spaces between the parts are fine; a month joined to its year by a dash is not a date."""
+    o = table(spark, d, "orders").withColumn("k", F.col("o_orderkey") % 8)
+    f = lambda p: F.date_format("o_orderdate", p)
+    fiscal = F.concat(F.lit("FY "), f("yyyy"), F.lit("-"), F.lpad(((F.year("o_orderdate") + 1) % 100).cast("string"), 2, "0"))
+    t = F.when(F.col("k") == 0, f("yyyy-MM-dd")).when(F.col("k") == 1, f("dd/MM/yyyy")).when(F.col("k") == 2, f("dd MMM yyyy")).when(F.col("k") == 3, f("MMM yyyy")).when(F.col("k") == 4, fiscal)
+    t = t.when(F.col("k") == 5, F.concat(F.lit("45/45/"), f("yyyy"))).when(F.col("k") == 6, f("dd  MMMM yyyy")).otherwise(f("MMM-yyyy"))
+    p = dates.parse(t)
+    return o.select("o_orderkey", p["date"].alias("day"), p["ok"].alias("ok"), p["precise"].alias("precise"))
 
 
 @query(
@@ -201,10 +219,12 @@ def fn18(spark, d):
     return table(spark, d, "orders").select("o_orderkey", n.alias("n"), cells.column_letters(n).alias("letters"), cells.column_number(cells.column_letters(n)).alias("back"))
 
 
-@query("FN19_additive_formula", "SELECT p_partkey, p_partkey % 4 IN (0, 1) AS additive FROM part")
-def fn19(spark, d):
-    t = _forms(F.col("p_partkey"), F.col("p_size").cast("string"), ("=A{}+B1-C2", "=SUM(A1:A{})", "=A{}*B1", "=IF(A{}>0,1,2)"))
-    return table(spark, d, "part").select("p_partkey", cells.additive(t).alias("additive"))
+by_cases(
+    "FN19_additive_formula", "part", "p_partkey", "additive",
+    [("=A1+B1-C2", True), ("=SUM(A1:A9)", True), ("=MAX(A1,B1)", True), ("=AVERAGE(A1:A9)", True), ("=SUM(A1:A3)+B1", True), ("=A1+12.5", True), ("='P & L'!A1-Sheet2!$B$3", True), ("=A1*B1", False), ("=IF(A1>0,1,2)", False), ("=1+2", False), ("=ROUND(A1,2)", False), ("text", False)],
+    cells.additive, "BOOLEAN",
+)
+by_cases("FN19_pure_sum", "part", "p_partkey", "pure", [("=SUM(A1:A9)+B1", True), ("=A1+B1", True), ("=A1-B1", False), ("=A1+5", False), ("=MAX(A1,B1)", False), ("=SUM(3)", False)], cells.pure_sum, "BOOLEAN")
 
 
 @query("FN20_divisor_scale", "SELECT p_partkey, list_extract(['lakh','crore','thousand',NULL], CAST(p_partkey % 4 AS INT) + 1) AS scale FROM part")
@@ -237,21 +257,31 @@ def fn22(spark, d):
     return a.join(b, "s_nationkey").where("a < b").select("a", "b", F.round(text.edit_similarity(F.col("na"), F.col("nb")), 6).alias("similarity"))
 
 
-@query("FN23_label_phrase", "SELECT p_partkey, list_extract(['total sale and tax','land cost','company','gross profit'], CAST(p_partkey % 4 AS INT) + 1) AS phrase FROM part")
-def fn23(spark, d):
-    t = F.element_at(F.array(*map(F.lit, ("1.2 Total Sales & Taxes (net)", "a) Land costs @ 10%", "Companies 2024", "iv. Gross Profits"))), (F.col("p_partkey") % 4).cast("int") + 1)
-    return table(spark, d, "part").select("p_partkey", text.label_phrase(t).alias("phrase"))
+by_cases(
+    "FN23_label_phrase", "part", "p_partkey", "phrase",
+    [
+        ("1.2 Total Sales & Taxes (net)", "total sale and tax"), ("a) Land costs @ 10%", "land cost"), ("Companies 2024", "company"), ("iv. Gross Profits", "gross profit"), ("Growth %", "growth percent"), ("2. Fire fighting works (2.5% of civil cost)", "fire fighting work"),
+        ("Fees (net (of tax)", "fee"), ("old) rates", "rate"), ("Bus gas glass classes", "bus gas glass class"), ("कुल लागत", "क ल ल गत"), ("FIRE-FIGHTING WORK ", "fire fighting work"), ("(all of it)", ""),
+    ],
+    text.label_phrase,
+)
 
 
-@query("FN25_sibling_signature", "SELECT p_partkey, list_extract(['cost land','cost land','company tax'], CAST(p_partkey % 3 AS INT) + 1) AS signature FROM part")
-def fn25(spark, d):
-    t = F.element_at(F.array(*map(F.lit, ("Land and Costs", "costs land", "Companies Taxes"))), (F.col("p_partkey") % 3).cast("int") + 1)
-    return table(spark, d, "part").select("p_partkey", text.sibling_signature(t).alias("signature"))
+by_cases(
+    "FN25_sibling_signature", "part", "p_partkey", "signature",
+    [("Land and Costs", "cost land"), ("costs land", "cost land"), ("Companies Taxes", "company tax"), ("Sale", "sale"), ("Sales", "sale"), ("Glass", "glass"), ("Gas", "gas"), ("Buses & Boxes", "box bus"), ("Duties, Duty", "duty duty"), ("Churches", "church"), ("Tomatoes", "tomato"), ("Ands", "")],
+    text.sibling_signature,
+)
 
 
-@query("FN26_script", "SELECT doc_id, 'en' AS script FROM documents")
-def fn26(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.script(F.col("text")).alias("script"))
+by_cases("FN26_script", "part", "p_partkey", "script", [("plain words", "en"), ("நிலம்", "ta"), ("જમીન", "gu"), ("जमीन", "hi"), ("जमीन शाळा", "mr"), ("land નું जमीन", "gu"), ("", "en")], text.script)
+by_cases(
+    "FN27_transliteration", "part", "p_partkey", "latin",
+    [
+        ("plain text 12", "plain text 12"), ("कमल", "kamal"), ("राम", "ram"), ("वर्ग मीटर", " sq m"), ("२ एकड़", "2  acre"), ("શ્રી", "shri"), ("જમીન", "jamin"), ("தமிழ்", "tamil"), ("अंक", "ank"), ("औ", "औ"), ("भूमि १२३", "bhumi 123"), ("क-ख", "k-kh"),
+    ],
+    text.transliterated,
+)
 
 
 @query("FN28_squeeze", "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS squeezed FROM documents")
@@ -259,13 +289,15 @@ def fn28(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.squeeze(F.col("text")).cast("binary")).alias("squeezed"))
 
 
-@query(
-    "FN30_redact_numbers",
-    "SELECT c_custkey, 'PAN <PAN> and a/c <ACCOUNT>, sum <AMOUNT>' AS redacted FROM customer",
+by_cases(
+    "FN30_redact_numbers", "customer", "c_custkey", "redacted",
+    [
+        ("PAN ABCDE1234F of Ramesh", "PAN of"), ("paid Rs. 5000 on time", "paid on time"), ("cost 12.5 lakhs", "cost"), ("a/c no 123456 open", "open"), ("ratio 1234.56 stays", "ratio 1234.56 stays"), ("CIN U40100TG2010PTC071234", "CIN"),
+        ("22abcde1234f1z5 gstin", "gstin"), ("ref 123456789012", "ref"), ("Legal Name", "Legal Name"), ("$ 4,500.50 due", "due"), ("Bhagyanagar_Solar Net Worth", "Net Worth"), ("ref 12345678", "ref 12345678"),
+    ],
+    text.redacted,
 )
-def fn30(spark, d):
-    raw = F.concat(F.lit("PAN ABCDE1234F and a/c "), F.lpad(F.col("c_custkey").cast("string"), 12, "1"), F.lit(", sum 12,34,567.50"))
-    return table(spark, d, "customer").select("c_custkey", text.redacted(raw).alias("redacted"))
+by_cases("FN30_label_key", "customer", "c_custkey", "label", [("Bhagyanagar Solar Net Worth", "net_worth"), ("Legal Name", "legal_name"), ("Turnover 2024-25", "turnover"), ("ABCDE1234F", ""), ("Debt/Equity (x)", "debt_equity_x")], text.label_key)
 
 
 @query(
@@ -284,10 +316,21 @@ def fn32(spark, d):
     return table(spark, d, "orders").where("o_orderkey > 0").select("o_orderkey", cells.western(s).alias("western"), cells.indian(s).alias("indian"))
 
 
-@query("FN33_hash_embedding")
+# Each feature's FNV-1a hash: the low 31 bits mod 128 are its place, the top bit its sign.
+_FNV = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(f, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
+
+
+@query(
+    "FN33_hash_embedding",
+    f"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark), one AS (SELECT item_id, ws, unnest(ws) AS word FROM w),
+    f AS (SELECT item_id, 'w1:' || word AS f, 1 AS k FROM one UNION ALL SELECT item_id, 'c3:' || substr(word, CAST(i AS INT), 3), 1 FROM (SELECT item_id, word, unnest(range(1, length(word) - 1)) AS i FROM one WHERE length(word) >= 4)
+    UNION ALL SELECT item_id, 'w2:' || ws[i] || ' ' || ws[i + 1], 2 FROM (SELECT item_id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+    h AS (SELECT item_id, k, {_FNV} AS h FROM f), s AS (SELECT item_id, (h % 2147483648) % 128 AS place, sum(CASE WHEN h >= 2147483648 THEN -k ELSE k END) AS x FROM h GROUP BY ALL)
+    SELECT item_id, CAST(place AS BIGINT) AS place, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS x FROM s WHERE x <> 0""",
+)
 def fn33(spark, d):
-    e = vectors.embed(F.col("text"))
-    return table(spark, d, "benchmark").select("item_id", F.transform(e, lambda x: F.round(x, 6)).alias("embedding"))
+    e = table(spark, d, "benchmark").select("item_id", F.posexplode(vectors.embed(F.col("text"))).alias("place", "x"))
+    return e.where("x <> 0").select("item_id", F.col("place").cast("bigint").alias("place"), F.round("x", 6).alias("x"))
 
 
 @query(
@@ -311,7 +354,7 @@ def fn37(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.amounts(F.concat(F.lit("paid "), a, F.lit(" of 1,250.00 and 1250"))).alias("amounts"))
 
 
-@query("FN38_content_tokens", "SELECT conv_id, turn, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:\\.\\p{N}+)?')), lambda x: NOT list_contains([" + ",".join(f"'{w}'" for w in text.STOP_WORDS) + "], x))) AS n FROM conversations")
+@query("FN38_content_tokens", "SELECT conv_id, turn, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:\\.\\p{N}+)?')), lambda x: NOT list_contains(['a','an','the','is','are','was','were','do','does','did','we','you','our','have','has','had','what','which','who','where','when','why','how','of','for','to','in','on','at','by','with','from','and','or','not','this','that','it','its','be','been','there','any','about'], x))) AS n FROM conversations")
 def fn38(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(text.content_tokens(F.col("text"))).cast("bigint").alias("n"))
 
@@ -328,10 +371,12 @@ def fn40(spark, d):
     return back.groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("FN41_amendment_level", "SELECT o_orderkey, CAST(list_extract([3, 1, 0, -1], CAST(o_orderkey % 4 AS INT) + 1) AS INT) AS level FROM orders")
-def fn41(spark, d):
-    t = F.element_at(F.array(*map(F.lit, ("Amendment No. 3", "Amended agreement", "Original agreement", "Annexure"))), (F.col("o_orderkey") % 4).cast("int") + 1)
-    return table(spark, d, "orders").select("o_orderkey", text.level(t, "amend(?:ed)?").cast("int").alias("level"))
+by_cases(
+    "FN41_amendment_level", "orders", "o_orderkey", "level",
+    [("Amendment No. 3", 3), ("Addendum No. 2", 2), ("amendment", 1), ("this amends it", 1), ("Amended agreement", -1), ("Original agreement", 0), ("unamended", 0), ("initial draft", -1), ("Annexure", -1), ("AMENDMENT #12 to base", 12), ("Amendment 99999999999", 1)],
+    text.amendment_level, "INT",
+)
+by_cases("FN41_revision_level", "orders", "o_orderkey", "level", [("Revision 4", 4), ("rev. 2", 2), ("Rev3", 3), ("revised", 1), ("supersedes all", 1), ("base case", 0), ("review 5", -1), ("preview", -1)], text.revision_level, "INT")
 
 
 @query("FN42_row_instruction", "SELECT p_partkey, p_partkey % 3 = 0 AS ambiguous FROM part")

@@ -29,6 +29,7 @@ def test_money(spark, raw, amount, scale, currency, absolute):
     [
         ("31.03.2026", "2026-03-31", True, True), ("12/03/2026", "2026-03-12", True, True), ("12-Mar-2026", "2026-03-12", True, True), ("March 2026", None, True, False), ("FY 2025-26", None, True, False),
         ("13/13/2026", None, False, True), ("31 Feb 2026", "2026-02-31", True, True), ("soon", None, False, True),
+        ("15  March 2025", "2025-03-15", True, True), ("Mar-2025", None, False, True), ("5 May, 2024", "2024-05-05", True, True), ("FY2024/2025", None, True, False),
     ],
 )
 def test_dates(spark, raw, day, ok, precise):
@@ -76,5 +77,27 @@ def test_embedding_is_of_unit_length_and_empty_is_zero(spark):
 
 
 def test_loose_key_and_tokens(spark):
-    r = one(spark, ("Alpha-Beta (India) Pvt. Ltd.", "What is the tariff of 4.5?"), text.loose_key(F.col("c0")).alias("k"), text.content_tokens(F.col("c1")).alias("t"))
-    assert (r.k, r.t) == ("alphabetaindia", ["tariff", "4.5"])
+    r = one(spark, ("Alpha-Beta (India) Pvt. Ltd.", "Where is any plan about tariff of 4.5? Give me a list"), text.loose_key(F.col("c0")).alias("k"), text.content_tokens(F.col("c1")).alias("t"))
+    assert (r.k, r.t) == ("alphabetaindia", ["plan", "tariff", "4.5", "give", "me", "list"])
+
+
+def test_hash_embedding_against_the_definition(spark):
+    def fnv(t):
+        h = 0x811C9DC5
+        for c in t:
+            h = (h ^ ord(c)) * 0x01000193 % (1 << 32)
+        return h
+
+    v = [0.0] * 128
+    for f, k in [("w1:solar", 1), ("w1:to", 1), ("c3:sol", 1), ("c3:ola", 1), ("c3:lar", 1), ("w2:solar to", 2)]:
+        v[(fnv(f) & 0x7FFFFFFF) % 128] += -k if fnv(f) >> 31 else k
+    n = sum(x * x for x in v) ** 0.5
+    assert one(spark, ("Solar, to",), vectors.embed(F.col("c0")).alias("e")).e == pytest.approx([x / n for x in v])
+
+
+def test_vector_codec(spark):
+    r = one(spark, ([1.5, -2.0],), vectors.to_bytes(F.col("c0")).alias("b"))
+    assert bytes(r.b) == b"\x00\x00\xc0\x3f\x00\x00\x00\xc0"
+    assert one(spark, (bytearray(r.b),), vectors.from_bytes(F.col("c0")).alias("v")).v == [1.5, -2.0]
+    with pytest.raises(Exception, match="not a multiple of 4"):
+        one(spark, (bytearray(b"abc"),), vectors.from_bytes(F.col("c0")).alias("v"))

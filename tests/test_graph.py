@@ -6,10 +6,10 @@ from gridledger.queries.graphs import gr6
 
 def test_history_of_a_long_chain(spark, tmp_path):
     """One customer of 450 orders: the old bound of 200 rounds gave 201 of them."""
-    rows = [(k, 1, f"2020-01-01T{k:05d}") for k in range(1, 451)] + [(501, 2, "2020"), (502, 2, "2021")]
+    rows = [(k, 1, f"2020-01-01T{k:05d}") for k in range(50, 500)] + [(550, 2, "2020"), (552, 2, "2021")]
     spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
     got = sorted(map(tuple, gr6(spark, str(tmp_path)).collect()))
-    assert got == [(1, k, k - 1) for k in range(1, 451)] + [(501, 501, 0), (501, 502, 1)]
+    assert got == [(s, k, k - s) for s in range(50, 500, 50) for k in range(s, 500)] + [(550, 550, 0), (550, 552, 1)]
 
 
 def test_history_of_a_cycle(spark):
@@ -23,3 +23,26 @@ def test_history_of_a_cycle(spark):
 def test_levels_leave_out_only_what_reaches_a_cycle(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (5, 2), (7, 8), (8, 7), (6, 7)], "a bigint, b bigint")
     assert sorted(map(tuple, graph.levels(edges).collect())) == [(2, 0), (3, 1), (4, 2), (5, 3)]
+
+
+def test_words_beside_a_region_join_it():
+    """A column of units no longer than the region, then a second one; a run that goes on past the region, or holds a number, stays out."""
+    units = {(r, 3) for r in (1, 2, 3)} | {(r, 4) for r in (2, 3)}
+    assert graph.grown([[1, 1, 3, 2]], units, set()) == [[1, 1, 3, 4]]
+    assert graph.grown([[1, 1, 3, 2]], {(r, 3) for r in range(1, 6)}, set()) == [[1, 1, 3, 2]]
+    assert graph.grown([[1, 1, 3, 2]], {(1, 3), (3, 3)}, {(2, 3)}) == [[1, 1, 3, 2]]
+    assert graph.grown([[2, 2, 3, 3]], {(1, 2), (4, 3), (2, 1), (3, 4)}, set()) == [[1, 1, 4, 4]]
+    assert graph.grown([[1, 1, 1, 1]], {(1, c) for c in range(2, 10)}, set()) == [[1, 1, 1, 5]]
+
+
+def test_regions_of_a_grid(spark):
+    rows = [("x", r, c, True) for r, c in ((1, 1), (1, 3), (3, 3), (9, 9), (9, 10))] + [("y", 1, 1, True), ("y", 2, 2, False), ("y", 3, 3, True)]
+    got = graph.regions(spark.createDataFrame(rows, "sheet string, row int, col int, number boolean")).collect()
+    assert [(r.sheet, r.top, r.left, r.bottom, r.right, r.cells, r.numbers) for r in got] == [("x", 1, 1, 3, 3, 3, 3)]
+
+
+def test_scales_that_are_asked_once(spark):
+    same = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
+    asked = spark.createDataFrame([(3, "lakh"), (1, "lakh"), (5, "lakh"), (6, "crore"), (9, "unit")], "node long, scale string")
+    got = {r.node: (r.component, r.scale) for r in graph.settled_scales(same, asked).collect()}
+    assert got == {1: (1, "lakh"), 2: (1, "lakh"), 3: (1, "lakh"), 5: (5, None), 6: (5, None), 9: (9, "unit")}

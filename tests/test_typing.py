@@ -34,6 +34,17 @@ def test_unstated_scales_are_settled_by_what_formulas_require():
     assert settle([OPEN, cell("C1", formula="=A1/100000")])[0][2] == "unit"
 
 
+def test_unknown_scales_that_are_added_are_one():
+    rows = settle([cell("A1", "money"), cell("B1", "money"), cell("C1", formula="=A1+B1"), cell("D1", "money", "crore"), cell("E1", formula="=B1+D1")])
+    assert rows[0][2] == rows[1][2] == rows[2][2] == "crore"
+
+
+def test_money_times_days_or_a_rate_stays_that_money():
+    days, dollars = cell("B1", "quantity", "unit", "days"), cell("B1", "rate", "unit", None, "USD")
+    assert settle([OPEN, days, cell("C1", formula="=A1*B1")])[-1][1:6] == ("money", None, None, "INR", None)
+    assert settle([LAKH, dollars, cell("C1", formula="=A1*B1")])[-1][1:6] == ("money", "lakh", None, "INR", None)
+
+
 def test_cycles_and_their_readers_are_refused():
     rows = settle([cell("A1", formula="=B1"), cell("B1", formula="=A1"), cell("C1", formula="=A1+1"), cell("D1", "money", "unit")])
     assert [r[5] for r in rows] == ["cycle", "cycle", "cycle", None]
