@@ -1,3 +1,3 @@
 """Every operator of the library, bound to the driver's tables. Importing this package fills gridledger.registry."""
 
-from gridledger.queries import aggregates, documents, facts, graphs, joins, lifecycle, scalars, windows  # noqa: F401
+from gridledger.queries import aggregates, documents, facts, files, graphs, joins, lifecycle, scalars, windows  # noqa: F401

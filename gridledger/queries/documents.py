@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridledger.functions import dates, money, text, vectors
+from gridledger.functions import dates, markdown, money, text, vectors
 from gridledger.operators import joins, typing
 from gridledger.operators import versions as v
 from gridledger.operators import windows as w
@@ -42,6 +42,17 @@ by_cases(
 )
 
 
+by_cases(
+    "FN29_markdown", "part", "p_partkey", "clean",
+    [
+        ("<table><tr><th>A</th><th>B</th></tr><tr><td>1</td></tr><tr><td>x</td><td>y</td><td>z</td></tr></table>", "| A | B |\n|---|---|\n| 1 |  |\n| x | y z |\n"), ("<table><tr><td colspan=2>T</td></tr><tr><td>a|b</td><td>c &amp; d</td></tr></table>", "| T |  |\n|---|---|\n| a/b | c & d |\n"),
+        ("text\nPage 12\nmore", "text\nmore\n"), ("a 1234567890#@!x b 12,34,567.50", "a b 12,34,567.50\n"), ("DATE :\nDate : 22/09/2025", "Date : 22/09/2025\n"), ("![seal: x](y)\nkept", "kept\n"), ("| **DATE : | Khandwa | ARHPJ9494 P |", "| | Khandwa | ARHPJ9494P |\n"),
+        ("<!-- page 3 -->body", "body\n"), ("   ", "   "), ("U40100TG2010PTC071234", "U40100TG2010PTC071234\n"), ("code: QR code here\nx", "x\n"),
+    ],
+    markdown.cleaned,
+)
+
+
 @query("FN35_vector_codec", "SELECT vec_id, len(embedding) * 4 AS bytes, label, true AS same, round(CAST(embedding[2] AS DOUBLE), 5) AS second FROM embeddings")
 def fn35(spark, d):
     """To little-endian float32 and back."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridledger.functions import cells, text
-from gridledger.operators import joins
+from gridledger.operators import conflicts, joins
 from gridledger.registry import query, table
 
 
@@ -159,11 +159,34 @@ def jn9(spark, d):
     return l.join(r, on).where(F.abs(F.col("l.u") - F.col("r.u")) > F.greatest("l.u", "r.u") * 0.5).select(F.col("l.l_partkey").alias("part"), F.col("l.k").alias("a"), F.col("r.k").alias("b"))
 
 
-@query("JN10_exactly_one_cell", "SELECT p_partkey, n, CASE WHEN n IS NULL THEN 'no_cell' WHEN n > 1 THEN 'multiple_cells' WHEN p_size > 25 THEN 'kind_mismatch' ELSE 'compare' END AS outcome FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_discount > 0.08 GROUP BY 1) ON l_partkey = p_partkey")
+_FACTS = """SELECT p_partkey AS fact_id, CASE p_partkey % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'money' WHEN 2 THEN 'rate' ELSE 'quantity' END AS kind, p_size % 10 > 1 AS bound,
+    CASE WHEN p_size % 10 > 0 THEN p_partkey END AS path, 'FY' || CAST(p_size % 3 AS VARCHAR) AS period, CASE WHEN p_size % 7 > 0 THEN p_size END AS number, CASE WHEN p_size % 2 = 0 THEN 'Acre' ELSE 'kwp' END AS unit FROM part"""
+_MODEL = """SELECT l_partkey AS path, l_orderkey * 10 + l_linenumber AS source, CASE WHEN l_linenumber < 4 THEN l_quantity END AS number, CASE WHEN l_linenumber = 5 THEN '=A1' END AS formula, CASE WHEN l_linenumber <> 2 THEN 'FY' || CAST(l_suppkey % 3 AS VARCHAR) END AS period,
+    l_suppkey % 11 = 0 AS ambiguous_period, CASE WHEN l_suppkey % 13 > 0 THEN CASE l_partkey % 5 WHEN 1 THEN 'money' WHEN 2 THEN 'rate' WHEN 3 THEN 'quantity' ELSE 'percent' END END AS reading, l_suppkey % 17 = 0 AS refused,
+    CASE WHEN l_suppkey % 4 > 0 THEN l_extendedprice END AS absolute, CASE WHEN l_suppkey % 2 = 0 THEN 'acre' ELSE 'kWp' END AS unit FROM lineitem WHERE l_discount > 0.09"""
+
+
+@query(
+    "JN10_comparable_facts",
+    f"""WITH f AS ({_FACTS}), c AS ({_MODEL}), k AS (SELECT *, number IS NOT NULL OR formula IS NOT NULL AS num, count(*) FILTER (number IS NOT NULL OR formula IS NOT NULL) OVER (PARTITION BY path) AS nums FROM c),
+    o AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM k WHERE num OR nums = 0) QUALIFY row_number() OVER (PARTITION BY path ORDER BY source) = 1)
+    SELECT f.fact_id, CASE WHEN NOT f.bound AND f.path IS NULL THEN 'no_shared_path' WHEN NOT f.bound THEN 'unbound' WHEN o.n IS NULL THEN 'no_cell' WHEN o.n > 1 THEN 'several_cells' WHEN o.ambiguous_period THEN 'ambiguous_period' WHEN o.period <> f.period THEN 'other_period'
+    WHEN o.reading IS NULL OR o.refused THEN 'no_reading' WHEN o.reading <> f.kind THEN 'other_kind' WHEN f.kind = 'money' AND o.absolute IS NULL THEN 'no_absolute_amount' WHEN f.kind <> 'money' AND o.number IS NULL THEN 'cell_without_number'
+    WHEN f.kind <> 'money' AND f.number IS NULL THEN 'fact_without_number' WHEN f.kind <> 'money' AND lower(o.unit) <> lower(f.unit) THEN 'other_unit' ELSE 'compare' END AS outcome, CASE WHEN o.n = 1 THEN o.source END AS source
+    FROM f LEFT JOIN o ON o.path = f.path WHERE f.kind <> 'text'""",
+)
 def jn10(spark, d):
-    counts = table(spark, d, "lineitem").where("l_discount > 0.08").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
-    reason = F.when(F.col("n").isNull(), "no_cell").when(F.col("n") > 1, "multiple_cells").when(F.col("p_size") > 25, "kind_mismatch").otherwise("compare")
-    return table(spark, d, "part").join(counts, "p_partkey", "left").select("p_partkey", "n", reason.alias("outcome"))
+    p, l = table(spark, d, "part"), table(spark, d, "lineitem").where("l_discount > 0.09")
+    facts = p.selectExpr(
+        "p_partkey AS fact_id", "element_at(array('text', 'money', 'rate', 'quantity', 'quantity'), CAST(p_partkey % 5 AS INT) + 1) AS kind", "p_size % 10 > 1 AS bound", "CASE WHEN p_size % 10 > 0 THEN p_partkey END AS path",
+        "concat('FY', p_size % 3) AS period", "CASE WHEN p_size % 7 > 0 THEN p_size END AS number", "CASE WHEN p_size % 2 = 0 THEN 'Acre' ELSE 'kwp' END AS unit",
+    )
+    cells = l.selectExpr(
+        "l_partkey AS path", "l_orderkey * 10 + l_linenumber AS source", "CASE WHEN l_linenumber < 4 THEN l_quantity END AS number", "CASE WHEN l_linenumber = 5 THEN '=A1' END AS formula", "CASE WHEN l_linenumber <> 2 THEN concat('FY', l_suppkey % 3) END AS period",
+        "l_suppkey % 11 = 0 AS ambiguous_period", "CASE WHEN l_suppkey % 13 > 0 THEN element_at(array('percent', 'money', 'rate', 'quantity', 'percent'), CAST(l_partkey % 5 AS INT) + 1) END AS reading", "l_suppkey % 17 = 0 AS refused",
+        "CASE WHEN l_suppkey % 4 > 0 THEN l_extendedprice END AS absolute", "CASE WHEN l_suppkey % 2 = 0 THEN 'acre' ELSE 'kWp' END AS unit",
+    )
+    return conflicts.comparisons(facts, cells)
 
 
 @query("JN11_null_safe_scope", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM (SELECT s_suppkey, CASE WHEN s_nationkey % 3 > 0 THEN s_nationkey END AS k FROM supplier) a JOIN (SELECT s_suppkey, CASE WHEN s_nationkey % 3 > 0 THEN s_nationkey END AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k AND a.s_suppkey < b.s_suppkey")
@@ -200,11 +223,15 @@ def jn15(spark, d):
     return joins.best_window(pages, names, "item_id", "text", "name_id", "name", 0.8).select("item_id", "name_id", F.round("score", 6).alias("score"), "phrase")
 
 
-@query("JN16_phrase_match", "SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z0-9]+', '  ', 'g') || ' ', ' (licensed  under|mit  license|public  license) ')) FROM documents) GROUP BY 1")
+@query(
+    "JN16_phrase_match",
+    """SELECT doc_id, phrase, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_extract_all(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), '\\b(?:gnu general public license|general public license|licensed under|public license|mit license|license|under)\\b')) AS phrase FROM documents) GROUP BY ALL""",
+)
 def jn16(spark, d):
-    phrases = spark.createDataFrame([("licensed under",), ("mit license",), ("public license",)], "phrase string")
-    windows = joins.phrase_windows(table(spark, d, "documents").select("doc_id", text.words(F.col("text")).alias("w")), "w", 2)
-    return windows.join(F.broadcast(phrases), "phrase").groupBy("doc_id").agg(F.count("*").alias("hits"))
+    names = ("license", "licensed under", "under", "mit license", "public license", "general public license", "gnu general public license")
+    docs = table(spark, d, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
+    hits = joins.phrase_hits(docs, "doc_id", "w", spark.createDataFrame([(x,) for x in names], "phrase string"))
+    return hits.groupBy("doc_id", "phrase").agg(F.count("*").alias("hits"))
 
 
 @query("JN17_longest_prefix", "SELECT p_partkey, max_by(n, length(n)) AS name FROM (SELECT p_partkey, p_type || ' ' || p_name AS label FROM part) JOIN (SELECT DISTINCT p_type AS n FROM part UNION SELECT DISTINCT p_type || ' ' || split_part(p_name, ' ', 1) FROM part WHERE p_size > 48) ON label = n OR starts_with(label, n || ' ') OR starts_with(label, n || ':') OR starts_with(label, n || '-') GROUP BY 1")

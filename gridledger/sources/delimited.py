@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import codecs
+import csv
+import io
+import sys
 from collections import Counter
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 PREFIX = 8192
 RECORDS = 20
@@ -66,23 +69,30 @@ def sniff(prefix: bytes, encoding: str | None = None, delimiter: str | None = No
     return encoding, delimiter or delimiter_of(prefix.decode(encoding, "replace").lstrip("﻿"))
 
 
+def fields(text: str, delimiter: str):
+    """(row, column, text) of every field, from 1; quotes hide delimiters and line ends, empty lines count but hold nothing."""
+    csv.field_size_limit(sys.maxsize)
+    for r, record in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), 1):
+        for c, value in enumerate(record, 1):
+            yield r, c, value
+
+
 def read_cells(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
-    """path, row_num, col_num, text of every field of the files at path. One file's prefix decides the dialect of all.
+    """path, row_num, col_num, text of every field of the files at path; each file's own prefix decides its dialect.
 
-    Rows are numbered within each file by the reader's order; the file is the unit that is read in one piece, so that
-    quoted line ends hold.
+    A file is read in one piece, once, as quoted line ends need it.
     """
-    first = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PREFIX).alias("p")).first()
-    encoding, delimiter = sniff(bytes(first.p) if first else b"", encoding, delimiter)
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value") if encoding == "utf-8" else (
-        spark.read.format("binaryFile").load(path).select("path", F.decode("content", encoding).alias("value"))
-    )
-    sep = {"|": r"\|"}.get(delimiter, delimiter)
-    # A record ends at a line end outside quotes: an even number of quotes follows it.
-    even = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    # That look ahead reads the rest each time, so it is used only where there are quotes: in a file for lines, in a line for fields.
-    split = lambda c, p: F.when(F.col(c).contains('"'), F.split(c, p + even, -1)).otherwise(F.split(c, p, -1))
-    lines = rows.select("path", F.posexplode(split("value", r"\r?\n")).alias("r", "line")).where("line <> ''")
-    cells = lines.select("path", "r", F.posexplode(split("line", sep)).alias("c", "t"))
-    text = F.replace(F.regexp_replace("t", r'(?s)^\s*"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"'))
-    return cells.select("path", (F.col("r") + 1).alias("row_num"), (F.col("c") + 1).alias("col_num"), text.alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                coding, sep = sniff(content[:PREFIX], encoding, delimiter)
+                cells = fields(content.decode(coding, "replace").lstrip("\ufeff"), sep)
+                while part := list(islice(cells, 50_000)):
+                    r, c, t = zip(*part)
+                    yield pa.RecordBatch.from_pydict({"path": [name] * len(part), "row_num": pa.array(r, pa.int32()), "col_num": pa.array(c, pa.int32()), "text": pa.array(t, pa.string())})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, row_num int, col_num int, text string")

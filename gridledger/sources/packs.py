@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Kinds of a field's value, and roots of its path.
 KINDS = ("money", "quantity", "rate", "percent", "date", "duration", "text", "enum", "boolean", "list")
 ROOTS = ("identity", "economic", "technical", "commercial", "legal", "regulatory", "frame")
 SCHEMA = "pack_code string, version string, key string, path string, path_root string, value_kind string, required boolean, synonyms array<string>"
