@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parents[2])
+#: Bytes of an Arrow batch at most, so that whole texts pass to Python workers in small pieces.
+BATCH_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, and gives the session a checkpoint folder where none is set."""
+    """Lets Python workers import this package, bounds the session's Arrow batches by bytes, and gives it a checkpoint folder where none is set."""
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", "")
     if REPO not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, path) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(spark))
     return spark
@@ -67,6 +70,16 @@ def as_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives a worker's free memory back to the system; workers outlive their tasks, and other stages run beside what they keep."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own counsel
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, least node of its component) that connect what the links a-b connect."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -110,3 +123,9 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def set_aside(df: DataFrame, needed: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with every column but the needed ones under a name that no operator uses, and those names with the old ones."""
+    aside = {f"__aside_{i}": n for i, n in enumerate(df.columns) if n not in needed}
+    return df.withColumnsRenamed({n: k for k, n in aside.items()}), aside

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.shared import as_bytes, components, cut, forest, ready
+from gridledger.llm.shared import as_bytes, components, cut, forest, ready, release, set_aside
 
 #: Rows of a block key that one task compares with each other; larger keys are split into pairs of such chunks.
 CHUNK = 512
@@ -44,7 +44,7 @@ def fingerprint_batch(texts: list[bytes], width: int = 3, seed: int = 42) -> np.
             digests.extend([xxh64_digest(b"%b %b %b" % w, seed) for w in zip(words, words[1:], words[2:])] if width == 3 else [xxh64_digest(b" ".join(words[j : j + width]), seed) for j in range(len(words) - width + 1)])
         ends.append(len(digests))
         at.append(i)
-        if len(digests) > 200_000:
+        if len(digests) > 50_000:
             flush()
     if digests:
         flush()
@@ -60,9 +60,10 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None, id_col: str = "
         import pyarrow as pa
 
         for b in batches:
-            for part in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
+            for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
                 fp = fingerprint_batch(as_bytes(part.column(text_col)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(fp.view(np.int64))], names=[*keep, "fp"])
+        release()
 
     src = docs.select(*cols)
     return src.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep) + ", fp bigint")
@@ -138,13 +139,14 @@ def link_edges(fps: DataFrame, bits: int = 3, blocks: tuple[int, int] | None = N
 
 
 def labelled(docfp: DataFrame, bits: int = 3, id_col: str = "doc_id") -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of docfp (doc_id, fp), which must be cheap to read twice."""
+    """(fp, root, component_id) for every distinct fingerprint of docfp (doc_id, fp), which must be cheap to read twice; root: the component's least fingerprint."""
     reps = cut(docfp.groupBy("fp").agg(F.min(id_col).alias("rep")))
     roots = cut(components(link_edges(reps.select("fp"), bits)))
     linked = roots.withColumnRenamed("node", "fp").join(reps, "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    moved = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id", F.lit(True).alias("moved"))
-    return cut(reps.join(moved, "fp", "left").select("fp", F.when(F.col("moved"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")))
+    moved = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id", F.lit(True).alias("moved"))
+    both = reps.join(moved, "fp", "left")
+    return cut(both.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("moved"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id")))
 
 
 def simhash_components(docs: DataFrame, bits: int = 3) -> DataFrame:
@@ -155,10 +157,17 @@ def simhash_components(docs: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, bits: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id (of rows that repeat it, any one)."""
+    """docs with one row of each component: of the rows of its least doc_id, that of the least hash. Columns of any name pass.
+
+    Fingerprints are computed once, and groups meet as numbers. A text is shuffled once, by a hash of its whole row, so that
+    a group of copies, however large, is dealt over all tasks.
+    """
     ready(docs.sparkSession)
-    names = docs.columns
-    label = labelled(cut(fingerprints(docs)), bits)
-    rows = fingerprints(docs, keep=names)
-    kept = rows.join(label, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return kept.dropDuplicates(["fp", "doc_id"]).select(*names)
+    rows, aside = set_aside(docs, ["doc_id", "text"])
+    hashable = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    rows = rows.withColumn("__h1", F.xxhash64(*hashable)).withColumn("__h2", F.xxhash64(F.lit(1), *hashable))
+    docfp = cut(fingerprints(rows, keep=["doc_id", "__h1", "__h2"]))
+    label = labelled(docfp.select("doc_id", "fp"), bits)
+    first = docfp.join(label, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("__h1", "__h2")).alias("h"))
+    kept = rows.join(first.select("h.__h1", "h.__h2").distinct(), ["__h1", "__h2"], "left_semi").dropDuplicates(["__h1", "__h2"])
+    return kept.withColumnsRenamed(aside).select(*docs.columns)
