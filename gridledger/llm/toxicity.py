@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.shared import as_bytes, crc32_text, cut, ready
+from gridledger.llm.shared import as_bytes, crc32_text, cut, ready, release
 
 LAMBDA = np.float32(0.6)
 LANDMARKS = 160
@@ -56,7 +56,7 @@ COMMON, RARE_STEP, RARE = 3000, 7, 1500
 CLEAN_LANDMARKS, CLEAN_CHOICE = 64, 400
 #: Positives of the first round where no word is in enough toxic documents.
 FEW = 10
-REMEMBER = 300_000
+REMEMBER = 100_000
 _RUNS = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -357,7 +357,7 @@ _MEMORY: dict = {}
 
 
 def document_margins(machine: Machine, key: str, texts: list[str]) -> np.ndarray:
-    """The largest and second largest margin among each text's words. The worker remembers words' margins across tasks, two generations of REMEMBER."""
+    """The largest and second largest margin among each text's words. The worker remembers words' margins through a task, two generations of REMEMBER."""
     if _MEMORY.get("key") != key:
         _MEMORY.update(key=key, young={}, old={})
     if len(_MEMORY["young"]) > REMEMBER:
@@ -450,9 +450,11 @@ def scored(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for part in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
+            for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
                 m = document_margins(machine, key, [x.decode() for x in as_bytes(part.column("text"))])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(m[:, 0]), pa.array(m[:, 1]), pa.array(curve(machine, m))], names=[*keep, "margin", "second", "score"])
+        _MEMORY.clear()
+        release()
 
     src = docs.select(*cols)
     return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep), "margin double", "second double", "score double"]))
