@@ -22,8 +22,8 @@ from gridledger.llm.shared import as_bytes, cut, ready
 BLOCK_DOCS = 1024
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
-#: Words of an output shard, about; shards at least.
-SHARD_WORDS, LEAST_SHARDS = 1 << 25, 8
+#: Words of an output shard, about; shards at least and at most (the driver holds one count of each source for each; beyond, shards grow).
+SHARD_WORDS, LEAST_SHARDS, MOST_SHARDS = 1 << 22, 8, 1 << 16
 #: Blocks of a group of a prefix sum; groups that draws are ranked in; ranks of a tile, by which draws meet shards.
 PREFIX, GROUP_BITS, TILE = 4096, 12, 64
 #: The table of sources is broadcast up to this many rows; beyond, it is joined by shuffle.
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, shards: int | None
         t = int(want[r.source] + 0.5)
         whole = t // int(r.z) if r.z else 0
         rows.append((i, r.source, int(r.z), float(want[r.source]), whole, t - whole * int(r.z), -(-r.docs // BLOCK_DOCS)))
-    shards = shards or max(LEAST_SHARDS, -(-sum(r[2] for r in rows) // SHARD_WORDS))
+    shards = shards or min(MOST_SHARDS, max(LEAST_SHARDS, -(-sum(r[2] for r in rows) // SHARD_WORDS)))
     sources = spark.createDataFrame(rows, "s int, source string, source_size bigint, target double, whole bigint, rest bigint, blocks bigint")
     unit = (F.shiftrightunsigned("u", 11).cast("double")) / float(1 << 53)
     sources = F.broadcast(sources) if len(rows) <= BROADCAST_SOURCES else sources
