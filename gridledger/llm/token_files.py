@@ -7,9 +7,11 @@ A data set is a folder of shards. Shard k holds documents whose ids come after t
   shard is ids[off[i] - off[0] : off[i + 1] - off[0]];
 * doc-<k>.bin: the n document ids, signed 64-bit (a null id is the least long, and sorts first).
 
-A shard is written under a name of the attempt's own and renamed, so that a task that is lost and run again leaves whole
-files. Offsets need the number of ids in all earlier shards: the base of a shard is the prefix sum of shard lengths.
-A null text is empty: its document holds the end id alone. Repeated rows are written each. An empty table has no shards.
+<k> is the shard's number and a name of the attempt's own. Which attempt counts is what the finished job's rows say (write_tokens
+gives them); files of attempts that were lost are deleted then. Nothing is renamed. Offsets need the number of ids in all earlier
+shards: the base of a shard is the prefix sum of shard lengths. Documents stand in the order of their id, then of a hash of the
+text, then of the text, so that every attempt writes the same. A null text is empty: its document holds the end id alone.
+Repeated rows are written each. An empty table has no shards.
 """
 
 from __future__ import annotations
@@ -118,12 +120,9 @@ def filesystem(uri: str):
 
 
 def put(where, path: str, parts) -> None:
-    """Writes parts to path by way of a name of this attempt's own."""
-    own = f"{path}.{uuid.uuid4().hex}"
-    with where.open_output_stream(own) as f:
+    with where.open_output_stream(path) as f:
         for x in parts:
             f.write(x)
-    where.move(own, path)
 
 
 def get(where, path: str, dtype: str) -> np.ndarray:
@@ -135,11 +134,13 @@ def get(where, path: str, dtype: str) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
-    """Writes docs (doc_id, text) under folder in ascending doc_id order; gives (shard, docs, ids, base) of each shard.
+    """Writes docs (doc_id, text) under folder in ascending doc_id order; gives (shard, name, docs, ids, base) of each shard.
 
     Documents are range-partitioned by doc_id, then encoded where they land, so that only texts are shuffled, once.
     """
     spark = ready(docs.sparkSession)
+    from pyarrow import fs
+
     where, root = filesystem(folder)
     where.create_dir(root, recursive=True)
 
@@ -147,11 +148,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         import pyarrow as pa
 
         where, root = filesystem(folder)
-        k, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer_path)
+        shard, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer_path)
+        k, lengths, own = f"{shard}-{uuid.uuid4().hex}", [], []
         ids = f"{root}/ids-{k}.{encoder.dtype[1:]}"
-        writing, lengths, own = f"{ids}.{uuid.uuid4().hex}", [], []
         end, width = np.array([end_id], encoder.dtype).tobytes(), int(encoder.dtype[2])
-        with where.open_output_stream(writing) as f:
+        with where.open_output_stream(ids) as f:
             for b in batches:
                 for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                     own.append(part.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8"))
@@ -159,33 +160,37 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                         f.write(x + end)
                         lengths.append(len(x) // width + 1)
         if not lengths:
-            where.delete_file(writing)
+            where.delete_file(ids)
             return
         put(where, f"{root}/doc-{k}.bin", [x.tobytes() for x in own])
         put(where, f"{root}/len-{k}.bin", [np.array(lengths, "<i8").tobytes()])
-        where.move(writing, ids)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "docs": pa.array([len(lengths)], pa.int64()), "ids": pa.array([sum(lengths)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [k], "docs": pa.array([len(lengths)], pa.int64()), "ids": pa.array([sum(lengths)], pa.int64())})
 
-    src = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text")
-    ranged = src.repartitionByRange(shards, "doc_id") if shards else src.repartitionByRange("doc_id")
-    done = cut(ranged.sortWithinPartitions("doc_id").mapInArrow(write, "shard int, docs bigint, ids bigint"))
+    src = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
+    ranged = src.repartitionByRange(shards, "doc_id", "h") if shards else src.repartitionByRange("doc_id", "h")
+    done = cut(ranged.sortWithinPartitions("doc_id", "h", "text").drop("h").mapInArrow(write, "shard int, name string, docs bigint, ids bigint"))
     # One row for each shard: their prefix sum is the driver's.
     base, rows = 0, []
     for r in sorted(done.collect()):
         rows.append((*r, base))
         base += r.ids
-    bases = spark.createDataFrame(rows, "shard int, docs bigint, ids bigint, base bigint")
+    kind = "shard int, name string, docs bigint, ids bigint, base bigint"
+    bases, counted = spark.createDataFrame(rows, kind), {r[1] for r in rows}
+    for f in where.get_file_info(fs.FileSelector(root)):
+        if re.sub(r"^[a-z]+-|\.\w+$", "", f.base_name) not in counted:
+            where.delete_file(f.path)
 
     def offsets(batches):
         import pyarrow as pa
 
         where, root = filesystem(folder)
         for b in batches:
-            for k, first in zip(b.column("shard").to_pylist(), b.column("base").to_pylist()):
+            for k, first in zip(b.column("name").to_pylist(), b.column("base").to_pylist()):
+                # Any attempt writes the same bytes.
                 put(where, f"{root}/off-{k}.bin", [np.r_[first, first + np.cumsum(get(where, f"{root}/len-{k}.bin", "<i8"))].astype("<i8").tobytes()])
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in ("shard", "docs", "ids", "base")], names=["shard", "docs", "ids", "base"])
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in ("shard", "name", "docs", "ids", "base")], names=["shard", "name", "docs", "ids", "base"])
 
-    return cut(bases.repartition(max(1, len(rows))).mapInArrow(offsets, "shard int, docs bigint, ids bigint, base bigint"))
+    return cut(bases.repartition(max(1, len(rows))).mapInArrow(offsets, kind))
 
 
 def read_tokens(written: DataFrame, folder: str, dtype: str = "<u2") -> DataFrame:
@@ -196,7 +201,7 @@ def read_tokens(written: DataFrame, folder: str, dtype: str = "<u2") -> DataFram
 
         where, root = filesystem(folder)
         for b in batches:
-            for k in b.column("shard").to_pylist():
+            for k in b.column("name").to_pylist():
                 ids, off, doc = (get(where, f"{root}/{x}", d) for x, d in ((f"ids-{k}.{dtype[1:]}", dtype), (f"off-{k}.bin", "<i8"), (f"doc-{k}.bin", "<i8")))
                 for i in range(0, len(doc), 10_000):
                     at = np.asarray(off[i : i + 10_001])
