@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.shared import as_bytes, cut, ready
+from gridledger.llm.shared import as_bytes, cut, ready, set_aside
 
 THRESHOLD = 0.7
 #: Lines of a window at most.
@@ -227,8 +227,18 @@ def inherit(scanned: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, keep: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files' columns in keep and path, with own_license, own_score, license and inherited_from of every row."""
-    return inherit(own_licenses(files, list(dict.fromkeys([*keep, "path"])), templates, threshold))
+    """files' columns in keep and path, with is_license_file, own_license, own_score, license and inherited_from of every row.
+
+    A column of files that has the name of one of these gives way to it.
+    """
+    rows, aside = set_aside(files.select(*dict.fromkeys([*keep, "path", "text"])), ["path", "text"])
+    held = [k for k, n in aside.items() if n in keep]
+    if "text" in keep:
+        rows, held = rows.withColumn("__aside_text", F.col("text")), [*held, "__aside_text"]
+    out = inherit(own_licenses(rows, [*held, "path"], templates, threshold))
+    own = ["path", "is_license_file", "own_license", "own_score", "license", "inherited_from"]
+    names = {k: aside.get(k, "text") for k in held}
+    return out.select(*(F.col(k).alias(n) for k, n in names.items() if n.lower() not in own), *own)
 
 
 def as_files(docs: DataFrame) -> DataFrame:

@@ -27,3 +27,11 @@ def no_docs(spark):
 @pytest.fixture(scope="session")
 def few_docs(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+CLASHES = ["fp", "FP", "component_id", "moved", "root", "h", "row", "u", "s", "block", "dir", "license", "score", "label", "margin", "kind", "_row"]
+
+
+@pytest.fixture(scope="session")
+def clashing_docs(edge_docs):
+    """The edge documents with columns named like those that operators make for themselves; "FP" and "fp" cannot stand together."""
+    return edge_docs.selectExpr("*", *(f"doc_id % 7 as `{n}`" for n in CLASHES if n != "FP"), "array(text) as `names`")
