@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.shared import as_bytes, cut, fresh_dir, ready
+from gridledger.llm.shared import cut, fresh_dir, ready
 
 NULL_ID = -(1 << 63)
 #: Chunks of a generation: a worker remembers the ids of those it met in the last one or two, across tasks.
 REMEMBER = 400_000
 #: A space with white space (or an end) on both sides; elsewhere, no token of the pattern crosses the place before a space.
-_ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
+_ODD_SPACE = r"[\s\v\x1c-\x1f\x{85}\pZ] (?:[\s\v\x1c-\x1f\x{85}\pZ]|\z)"
 
 
 class ChunkEncoder:
@@ -57,49 +57,65 @@ class ChunkEncoder:
     def learn(self, fresh: set[str]) -> None:
         """Encodes new chunks: those without white space at their ends as one long text, which parts where an id starts with a space."""
         young, old = self.young, self.old
-        if len(young) > REMEMBER:
-            self.old, self.young = old, young = young, {}
-        plain, other = [], []
-        for w in fresh:
-            if w in old:
-                young[w] = old[w]
-            else:
-                (other if not w or w[0].isspace() or w[-1].isspace() else plain).append(w)
+        again = old.keys() & fresh
+        young.update(zip(again, map(old.__getitem__, again)))
+        fresh = fresh - again
+        # A chunk without white space at its ends is what strip() leaves of it; the empty chunk goes with the others.
+        plain = [w for w in fresh if w and w.strip() == w]
+        other = [w for w in fresh if not w or w.strip() != w]
         for i in range(0, len(plain), 5000):
             part = plain[i : i + 5000]
             ids = np.array(self.model.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            at = [*np.flatnonzero(self.starts[ids]).tolist(), len(ids)]
-            if len(at) != len(part) + 1:
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) != len(part) or at[0]:
                 raise AssertionError("a chunk's ids hold a space of their own")
-            raw, width = ids.tobytes(), ids.itemsize
-            for w, s, e in zip(part, at, at[1:]):
-                young[w] = raw[s * width : e * width]
+            raw, cuts = ids.tobytes(), [*(at * ids.itemsize).tolist(), len(ids) * ids.itemsize]
+            young.update(zip(part, [raw[s:e] for s, e in zip(cuts, cuts[1:])]))
         for w, e in zip(other, self.model.encode_batch_fast([w[1:] if w[:1] == " " else " " + w for w in other], add_special_tokens=False)):
             young[w] = np.array(e.ids, self.dtype).tobytes()
 
+    def encode_column(self, texts, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow column of texts (null: empty), each followed by the ids in end, one after another, and how many each text has.
+
+        Arrow splits the texts and numbers their distinct chunks, so that a chunk is looked up once a column; numpy puts the ids together.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        numbered = split.flatten().dictionary_encode()
+        first, at = np.asarray(split.offsets)[:-1] - split.offsets[0].as_py(), np.array(numbered.indices)
+        # A chunk is known by its word, which holds no space; the first one, which no space precedes, by a space and its word.
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        firsts = [" " + words[i] for i in at[first]]
+        if len(self.young) > REMEMBER:
+            self.old, self.young = self.young, {}
+        self.learn({*words, *firsts}.difference(self.young))
+        known = [*map(self.young.__getitem__, words), *map(self.young.__getitem__, firsts)]
+        at[first] = np.arange(len(words), len(known))
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            ids = self.model.encode(texts[i].as_py(), add_special_tokens=False).ids
+            known[at[first[i]]] = np.array(ids, self.dtype).tobytes()
+        at = np.insert(at, np.r_[first[1:], len(at)], len(known))
+        known.append(end)
+        ids, width = np.frombuffer(b"".join(known), self.dtype), np.dtype(self.dtype).itemsize
+        size = np.fromiter(map(len, known), np.int64, len(known)) // width
+        begin, taken = (np.cumsum(size) - size)[at], size[at]
+        ends = np.cumsum(taken)
+        place = np.arange(ends[-1])
+        place += np.repeat(begin - (ends - taken), taken)
+        return ids[place], np.diff(ends[np.r_[first[1:], len(at) - len(first)] + np.arange(len(first))], prepend=0)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned integers of dtype."""
-        get, rows, fresh = self.young.get, [], set()
-        for t in texts:
-            if _ODD_SPACE.search(t):
-                rows.append((None, t))
-                continue
-            # A chunk is known by its word, which holds no space; the first one, which no space precedes, by a space and its word.
-            words = t.split(" ")
-            words[0] = " " + words[0]
-            ids = list(map(get, words))
-            if None in ids:
-                fresh.update([w for w, x in zip(words, ids) if x is None])
-                rows.append((words, ids))
-            else:
-                rows.append(b"".join(ids))
-        self.learn(fresh)
-        young = self.young
-        for i, r in enumerate(rows):
-            if r.__class__ is tuple:
-                words, ids = r
-                rows[i] = b"".join([young[w] if x is None else x for w, x in zip(words, ids)]) if words else np.array(self.model.encode(ids, add_special_tokens=False).ids, self.dtype).tobytes()
-        return rows
+        import pyarrow as pa
+
+        if not texts:
+            return []
+        ids, lengths = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -151,20 +167,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         shard, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer_path)
         k, lengths, own = f"{shard}-{uuid.uuid4().hex}", [], []
         ids = f"{root}/ids-{k}.{encoder.dtype[1:]}"
-        end, width = np.array([end_id], encoder.dtype).tobytes(), int(encoder.dtype[2])
+        end = np.array([end_id], encoder.dtype).tobytes()
         with where.open_output_stream(ids) as f:
             for b in batches:
                 for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                     own.append(part.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8"))
-                    for x in encoder.encode([x.decode() for x in as_bytes(part.column("text"))]):
-                        f.write(x + end)
-                        lengths.append(len(x) // width + 1)
-        if not lengths:
+                    out, many = encoder.encode_column(part.column("text"), end)
+                    f.write(out.tobytes())
+                    lengths.append(many)
+        lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+        if not len(lengths):
             where.delete_file(ids)
             return
         put(where, f"{root}/doc-{k}.bin", [x.tobytes() for x in own])
-        put(where, f"{root}/len-{k}.bin", [np.array(lengths, "<i8").tobytes()])
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [k], "docs": pa.array([len(lengths)], pa.int64()), "ids": pa.array([sum(lengths)], pa.int64())})
+        put(where, f"{root}/len-{k}.bin", [lengths.astype("<i8").tobytes()])
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [k], "docs": pa.array([len(lengths)], pa.int64()), "ids": pa.array([int(lengths.sum())], pa.int64())})
 
     src = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     ranged = src.repartitionByRange(shards, "doc_id", "h") if shards else src.repartitionByRange("doc_id", "h")
