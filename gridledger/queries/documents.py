@@ -114,11 +114,21 @@ def xo21(spark, d):
     return table(spark, d, "supplier").join(roots, "s_nationkey").select("s_suppkey", F.col("r_name").isin("ASIA", "EUROPE").alias("allowed"))
 
 
-@query("XO22_spine_match", "SELECT p_partkey, arg_max(n, length(n)) AS spine FROM part JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS n FROM part WHERE length(split_part(p_name, ' ', 1)) >= 4) ON contains(p_name, n) GROUP BY 1 HAVING count(DISTINCT length(n)) = count(*)")
+# Labels: a part's name in other letters, with its type, its last word alone, or its brand and, if small, its type.
+_LABEL = "CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, ' (', p_type, ')') WHEN 2 THEN split_part(p_name, ' ', 2) ELSE concat(p_brand, CASE WHEN p_size < 20 THEN concat(': ', p_type) ELSE '' END) END"
+
+
+@query(
+    "XO22_spine_match",
+    f"""WITH l AS (SELECT p_partkey, trim(regexp_replace(lower({_LABEL}), '[^a-z0-9]+', ' ', 'g')) AS k FROM part), s AS (SELECT DISTINCT name, lower(name) AS k FROM (SELECT p_name AS name FROM part UNION ALL SELECT p_type FROM part))
+    SELECT p_partkey, first(name ORDER BY CASE WHEN l.k = s.k THEN 0 ELSE 1 END, length(s.k) DESC, name) AS spine FROM l JOIN s ON length(l.k) >= 4 AND length(s.k) >= 4 AND (contains(l.k, s.k) OR contains(s.k, l.k)) GROUP BY 1""",
+)
 def xo22(spark, d):
-    names = table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("n")).where("length(n) >= 4").distinct()
-    hit = table(spark, d, "part").join(names, F.col("p_name").contains(F.col("n")))
-    return hit.groupBy("p_partkey").agg(F.max_by("n", F.length("n")).alias("spine"), F.countDistinct(F.length("n")).alias("k"), F.count("*").alias("c")).where("k = c").select("p_partkey", "spine")
+    """Each distinct label is matched once."""
+    parts = table(spark, d, "part")
+    labelled = parts.select("p_partkey", F.expr(_LABEL).alias("label"))
+    spine = parts.select(F.explode(F.array("p_name", "p_type")).alias("name")).distinct()
+    return labelled.join(joins.spine_match(labelled, spine), "label").select("p_partkey", "spine")
 
 
 @query("XO23_nested_fields", "SELECT p_type AS parent, count(DISTINCT p_brand) AS columns FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2")

@@ -44,3 +44,18 @@ def test_best_window_loses_no_pair(spark, least):
     assert got == brute(pages, names, least)
     if least == 0.8:
         assert {(90, 50, "taisingh pura"), (91, 51, "one two three four five sixx")} <= {(p, k, w) for p, k, _, w in got}
+
+
+def test_spine_match_is_the_longest_name_of_either_direction(spark):
+    spine = ["net worth", "Net Worth of the group", "tariff", "worth", "rate", "abc", "Zeta rate", "Alfa rate", None, ""]
+    labels = ["NET-WORTH", "the net worth (audited)", "worth of the", "Tariff, rate", "abc", "abcd", "rat", "e rate", "zeta rate and alfa rate", None, "", "---", "rate", "rate"]
+    key = lambda x: re.sub("[^a-z0-9]+", " ", (x or "").lower()).strip()
+
+    def best(label):
+        a = key(label)
+        fits = [n for n in spine if len(a) > 3 and len(key(n)) > 3 and (a in key(n) or key(n) in a)]
+        return min(fits, key=lambda n: (key(n) != a, -len(key(n)), n), default=None)
+
+    got = joins.spine_match(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame([(x,) for x in spine], "name string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted({(x, best(x)) for x in labels if best(x)})
+    assert joins.spine_match(spark.createDataFrame([], "label string"), spark.createDataFrame([], "name string")).count() == 0
