@@ -106,19 +106,138 @@ def settled_scales(same: DataFrame, required: DataFrame) -> DataFrame:
     return every.join(scales, "component", "left").select("node", "component", "scale")
 
 
+TILE = 512  # rows and columns of a tile of regions(). Tiles stand about zero: cells up to 255 rows and columns share one
+
+
 def regions(cells: DataFrame, reach: int = 2, least: int = 3) -> DataFrame:
     """Blocks of cells (sheet, row, col, number: whether it is one) within `reach` rows and columns of each other that hold `least` numbers:
-    sheet, region (its first cell, by row, as row and column), top, left, bottom, right, cells, numbers. Neighbours meet by equal places."""
-    place = F.struct("sheet", "row", "col")
-    near = [(r, c) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1)]  # a cell is its own neighbour, so that it stands alone at worst
-    moves = F.explode(F.array(*(F.struct((F.col("row") + r).alias("r"), (F.col("col") + c).alias("c")) for r, c in near))).alias("to")
-    one = cells.groupBy("sheet", "row", "col").agg(F.max("number").alias("number"))
-    beside = one.select(place.alias("a"), "sheet", moves).select("a", "sheet", F.col("to.r").alias("row"), F.col("to.c").alias("col"))
-    edges = beside.join(one.select("sheet", "row", "col"), ["sheet", "row", "col"]).select("a", place.alias("b"))
-    member = connected(edges)
-    found = member.select("component", "node.sheet", "node.row", "node.col").join(one, ["sheet", "row", "col"])
-    box = found.groupBy("sheet", "component").agg(F.min("row").alias("top"), F.min("col").alias("left"), F.max("row").alias("bottom"), F.max("col").alias("right"), F.count("*").alias("cells"), F.sum(F.col("number").cast("bigint")).alias("numbers"))
-    return box.where(F.col("numbers") >= least).select("sheet", F.struct("component.row", "component.col").alias("region"), "top", "left", "bottom", "right", "cells", "numbers")
+    sheet, region (its first cell, by row, as row and column), top, left, bottom, right, cells, numbers.
+
+    A tile's blocks are found by sorting; those that reach a tile's edge meet by equal places, so a sheet of any size is dealt by tiles.
+    """
+    if not 0 < reach < TILE:
+        raise ValueError(f"reach: 1 to {TILE - 1}")
+    kind, row, col = dict(cells.dtypes), F.col("row"), F.col("col")
+    tile = lambda c: F.floor((c + TILE // 2) / TILE)
+    given = cells.where("sheet is not null and row is not null and col is not null").groupBy("sheet", "row", "col").agg(F.max("number").alias("number"))
+    dealt = given.select("sheet", row.cast("int").alias("row"), col.cast("int").alias("col"), "number").repartition("sheet", tile(row.cast("bigint")), tile(col.cast("bigint")))
+    ordered = dealt.sortWithinPartitions("sheet", tile(row.cast("bigint")), tile(col.cast("bigint")), "row", "col")
+    out = f"sheet {kind['sheet']}, row bigint, col bigint, top bigint, left bigint, bottom bigint, right bigint, cells bigint, numbers bigint, edge array<struct<row: bigint, col: bigint>>"
+    local = cut(ordered.mapInArrow(lambda batches: _blocks(batches, reach, least), out))
+    open_ = local.where(F.size("edge") > 0)
+    if open_.head(1):
+        node = F.struct("sheet", "row", "col")
+        border = cut(open_.select(node.alias("a"), F.explode("edge").alias("at")).select("a", "a.sheet", "at.row", "at.col"))
+        near = [(r, c) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1)]
+        moves = F.explode(F.array(*(F.struct((row + r).alias("r"), (col + c).alias("c")) for r, c in near))).alias("to")
+        over = (tile(row) != tile(F.col("to.r"))) | (tile(col) != tile(F.col("to.c")))
+        beside = border.select("a", "sheet", "row", "col", moves).where(over).select("a", "sheet", F.col("to.r").alias("row"), F.col("to.c").alias("col"))
+        member = connected(beside.join(border.withColumnRenamed("a", "b"), ["sheet", "row", "col"]).select("a", "b"))
+        own = open_.drop("edge").withColumn("node", node).join(member, "node", "left").withColumn("first", F.coalesce("component", "node"))
+        sides = [F.min("top").alias("top"), F.min("left").alias("left"), F.max("bottom").alias("bottom"), F.max("right").alias("right")]
+        joined = own.groupBy("first").agg(*sides, F.sum("cells").alias("cells"), F.sum("numbers").alias("numbers")).select("first.sheet", "first.row", "first.col", "top", "left", "bottom", "right", "cells", "numbers")
+        local = local.where(F.size("edge") == 0).drop("edge").unionByName(joined)
+    down, across = (lambda c, n=n: F.col(c).cast(kind[n]).alias(c) for n in ("row", "col"))
+    return local.where(F.col("numbers") >= least).select("sheet", F.struct(down("row"), across("col")).alias("region"), down("top"), across("left"), down("bottom"), across("right"), "cells", "numbers")
+
+
+def _groups(batches, starts, rows: int = 1 << 18):
+    """Arrow batches of sorted rows as tables of whole groups, of some `rows` rows where groups are not larger. starts: where groups start in a table."""
+    import pyarrow as pa
+
+    held, n, most = [], 0, rows
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= most:
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = int(starts(t).nonzero()[0][-1])
+            if last:
+                yield t.slice(0, last)
+            held, n = t.slice(last).to_batches(), n - last
+            most = max(rows, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _changes(*columns):
+    """Whether a row differs from the one before it in any of the columns (Arrow or numpy); the first does."""
+    import numpy as np
+    import pyarrow as pa
+
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        if not isinstance(c, np.ndarray):
+            one = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+            c = one.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _first_cells(tile, row, col, reach: int):
+    """For each of the cells, in order by tile, row and column, the place of the first one that it hangs together with. tile: whether one starts.
+
+    Of the cells within reach on another line, the first and the last do: between them is at most one gap that the line itself does not bridge.
+    """
+    import numpy as np
+
+    n = len(row)
+    new = tile.copy()
+    new[1:] |= row[1:] != row[:-1]
+    line, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    line_row, line_tile = row[at], np.cumsum(tile)[at]
+    beside = np.flatnonzero(~new[1:] & (np.diff(col) <= reach))
+    a, b = [beside], [beside + 1]
+    c = col - col.min() + reach
+    wide = int(c.max()) + reach + 1
+    key = line * wide + c
+    for j in range(1, min(reach, len(at) - 1) + 1):
+        near = np.zeros(len(at), bool)
+        near[:-j] = (line_tile[j:] == line_tile[:-j]) & (line_row[j:] - line_row[:-j] <= reach)
+        i = np.flatnonzero(near[line])
+        lo, hi = np.searchsorted(key, key[i] + j * wide - reach), np.searchsorted(key, key[i] + j * wide + reach, "right") - 1
+        hit = lo <= hi
+        a += [i[hit], i[hit]]
+        b += [lo[hit], hi[hit]]
+    a, b, root = np.concatenate(a), np.concatenate(b), np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _blocks(batches, reach: int, least: int):
+    """The blocks of each tile, with their cells at its edge; those that hold too few numbers only if they have such cells."""
+    import numpy as np
+    import pyarrow as pa
+
+    ints = lambda t, name: t[name].to_numpy().astype(np.int64)
+    tile = lambda x: (x + TILE // 2) // TILE
+    starts = lambda t: _changes(t["sheet"], tile(ints(t, "row")), tile(ints(t, "col")))
+    for t in _groups(batches, starts):
+        row, col = ints(t, "row"), ints(t, "col")
+        number = t["number"].fill_null(False).to_numpy().astype(np.int64)
+        root = _first_cells(starts(t), row, col, reach)
+        order = np.argsort(root, kind="stable")
+        at = np.flatnonzero(np.diff(root[order], prepend=-1))
+        most, least_, total = (lambda x, f=f: f.reduceat(x[order], at) for f in (np.maximum, np.minimum, np.add))
+        edge = np.zeros(len(row), bool)
+        for x in (row, col):
+            place = (x + TILE // 2) % TILE
+            edge |= (place < reach) | (place >= TILE - reach)
+        numbers, edges = total(number), total(edge.astype(np.int64))
+        keep = (numbers >= least) | (edges > 0)
+        first, side = root[order][at][keep], order[edge[order]]
+        places = pa.StructArray.from_arrays([pa.array(row[side]), pa.array(col[side])], ["row", "col"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(edges[keep])]).astype(np.int32)), places)
+        columns = {"row": row[first], "col": col[first], "top": row[first], "left": least_(col)[keep], "bottom": most(row)[keep], "right": most(col)[keep], "cells": np.diff(at, append=len(row))[keep], "numbers": numbers[keep]}
+        sheet = t["sheet"].combine_chunks().take(pa.array(first))
+        yield pa.RecordBatch.from_arrays([sheet, *map(pa.array, columns.values()), lists], ["sheet", *columns, "edge"])
 
 
 def grown(boxes: list[list[int]], texts: set[tuple[int, int]], numbers: set[tuple[int, int]], rounds: int = 4) -> list[list[int]]:

@@ -1,9 +1,19 @@
 """Fixpoints run until nothing changes, at any depth."""
 
+import random
+
+import pytest
+
 from gridledger.operators import graph
 from gridledger.queries.graphs import gr6
 
 
+def shuffled(spark):
+    """Bytes that the session's shuffles have written so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
 def test_history_of_a_long_chain(spark, tmp_path):
     """One customer of 450 orders: the old bound of 200 rounds gave 201 of them."""
     rows = [(k, 1, f"2020-01-01T{k:05d}") for k in range(50, 500)] + [(550, 2, "2020"), (552, 2, "2021")]
@@ -41,6 +51,48 @@ def test_regions_of_a_grid(spark):
     assert [(r.sheet, r.top, r.left, r.bottom, r.right, r.cells, r.numbers) for r in got] == [("x", 1, 1, 3, 3, 3, 3)]
 
 
+def blocks(cells, reach, least):
+    """The regions of {(row, col): number} by looking at all cells."""
+    left, out = set(cells), []
+    while left:
+        todo = [min(left)]
+        own = set(todo)
+        while todo:
+            r, c = todo.pop()
+            more = {(r + i, c + j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)} & left - own
+            own |= more
+            todo += more
+        left -= own
+        if sum(cells[x] for x in own) >= least:
+            rows, cols = zip(*own, strict=True)
+            out.append((*min(own), min(rows), min(cols), max(rows), max(cols), len(own), sum(cells[x] for x in own)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("reach", [1, 2, 3])
+def test_regions_across_tiles_are_whole(spark, reach):
+    """Cells about the corners of tiles, a line through several tiles, and a small sheet; some cells are given twice."""
+    pick, sheets = random.Random(reach), {}
+    for sheet, (row, col) in {"a": (256, 256), "b": (-256, 768), "c": (0, 0), "d": (256, 0)}.items():
+        sheets[sheet] = {(row + pick.randint(-12, 12), col + pick.randint(-12, 12)): pick.random() < 0.6 for _ in range(110 // reach)}
+    sheets["line"] = {(7, c): True for c in range(-600, 1200, reach)} | {(7 + r, 256): False for r in range(0, 600, reach)}
+    rows = [(s, r, c, n) for s, own in sheets.items() for (r, c), n in own.items()]
+    rows += [(s, r, c, False) for s, r, c, n in rows[::3]] + [(None, 1, 1, True), ("c", None, 1, True), ("c", 1, None, True)]
+    pick.shuffle(rows)
+    got = graph.regions(spark.createDataFrame(rows, "sheet string, row int, col int, number boolean"), reach, 3).collect()
+    want = sorted((s, *x) for s, own in sheets.items() for x in blocks(own, reach, 3))
+    assert sorted((r.sheet, r.region.row, r.region.col, r.top, r.left, r.bottom, r.right, r.cells, r.numbers) for r in got) == want
+    assert len({x[0] for x in want}) == 5
+
+
+def test_regions_move_a_cell_a_few_times(spark):
+    """The old way moved each cell to its 25 neighbours and each link in every round: more than 300 bytes a cell."""
+    cells = spark.range(200_000).selectExpr("id div 30 as sheet", "cast(id * 7 % 50 as int) as row", "cast(id % 7 as int) as col", "id % 4 > 0 as number").localCheckpoint()
+    before = shuffled(spark)
+    graph.regions(cells).count()
+    assert 0 < shuffled(spark) - before < 40 * 200_000
+
+
 def test_scales_that_are_asked_once(spark):
     same = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
     asked = spark.createDataFrame([(3, "lakh"), (1, "lakh"), (5, "lakh"), (6, "crore"), (9, "unit")], "node long, scale string")
