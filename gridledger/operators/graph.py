@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -278,20 +279,40 @@ def _runs(at, lo: int, hi: int, texts: set, numbers: set) -> set:
 
 
 def absorb_fringe(cells: DataFrame, boxes: DataFrame, rounds: int = 4) -> DataFrame:
-    """boxes (sheet, top, left, bottom, right) of a sheet's regions with the words beside them; cells (sheet, row, col, number). One sheet is one group."""
+    """boxes (sheet, top, left, bottom, right) of a sheet's regions with the words beside them; cells (sheet, row, col, number). A sheet stays
+    whole, as its boxes take words in turn; many sheets pass in one Arrow batch."""
+    own = boxes.select("sheet", F.lit(0).alias("kind"), *(F.col(c).cast("int").alias(x) for c, x in zip(("top", "left", "bottom", "right"), "abcd", strict=True)))
+    place = cells.where("row is not null and col is not null").select("sheet", F.when(F.col("number"), 2).otherwise(1).alias("kind"), F.col("row").cast("int").alias("a"), F.col("col").cast("int").alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"))
+    both = own.unionByName(place).repartition("sheet").sortWithinPartitions("sheet", "kind", "a", "b", "c", "d")
+    out = f"sheet {dict(boxes.dtypes)['sheet']}, top int, left int, bottom int, right int"
+    return both.mapInArrow(lambda batches: _fringed(batches, rounds), out)
 
-    def one(key, cells, boxes):
-        import pandas as pd
 
-        own = sorted(map(tuple, boxes[["top", "left", "bottom", "right"]].astype(int).to_numpy().tolist()))
-        inside = lambda r, c: any(t <= r <= b and l <= c <= w for t, l, b, w in own)
-        free = [(int(r), int(c), bool(n)) for r, c, n in zip(cells["row"], cells["col"], cells["number"]) if not inside(r, c)]
-        got = grown([list(x) for x in own], {(r, c) for r, c, n in free if not n}, {(r, c) for r, c, n in free if n}, rounds)
-        return pd.DataFrame([(key[0], *b) for b in got], columns=["sheet", "top", "left", "bottom", "right"])
+def _fringed(batches, rounds: int):
+    """The grown boxes of whole sheets; a sheet's boxes stand before its words, and these before its numbers."""
+    from itertools import pairwise
 
-    kind = dict(boxes.dtypes)["sheet"]
-    out = f"sheet {kind}, top int, left int, bottom int, right int"
-    return cells.select("sheet", "row", "col", "number").groupBy("sheet").cogroup(boxes.groupBy("sheet")).applyInPandas(one, out)
+    import pyarrow as pa
+
+    starts = lambda t: _changes(t["sheet"])
+    for t in _groups(batches, starts):
+        kind, a, b, c, d = (t[x].to_pylist() for x in ("kind", "a", "b", "c", "d"))
+        at, got = [], []
+        for lo, hi in pairwise([*starts(t).nonzero()[0].tolist(), t.num_rows]):
+            first = bisect_left(kind, 1, lo, hi)
+            if first == lo:
+                continue
+            middle = bisect_left(kind, 2, first, hi)
+            own = [[a[i], b[i], c[i], d[i]] for i in range(lo, first)]
+            free = [set(zip(a[i:j], b[i:j], strict=True)) for i, j in ((first, middle), (middle, hi))]
+            for top, left, bottom, right in own:
+                for held, i, j in zip(free, (first, middle), (middle, hi), strict=True):
+                    band = range(bisect_left(a, top, i, j), bisect_right(a, bottom, i, j))
+                    held.difference_update([(a[k], b[k]) for k in band if left <= b[k] <= right])
+            got += grown(own, *free, rounds)
+            at += [lo] * (first - lo)
+        sheet = t["sheet"].combine_chunks().take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([sheet, *(pa.array([g[k] for g in got], pa.int32()) for k in range(4))], ["sheet", "top", "left", "bottom", "right"])
 
 
 def peel_merge(vectors: dict[str, list[float]], threshold: float = 0.72) -> dict[str, str]:

@@ -93,6 +93,24 @@ def test_regions_move_a_cell_a_few_times(spark):
     assert 0 < shuffled(spark) - before < 40 * 200_000
 
 
+def test_fringe_of_many_sheets_is_that_of_each(spark):
+    """Sheets pass by the batch, not one by one; before, each was a group of pandas, and a cell without a place failed."""
+    pick, cells, boxes, want = random.Random(5), [], [], []
+    for sheet in range(40):
+        own = sorted([t, left, t + pick.randint(0, 3), left + pick.randint(0, 3)] for t, left in ((pick.randint(1, 3), pick.randint(1, 3)), (pick.randint(8, 10), pick.randint(3, 8))))
+        at = {(pick.randint(0, 12), pick.randint(0, 12)): pick.random() < 0.2 for _ in range(70)}
+        cells += [(sheet, r, c, n) for (r, c), n in at.items()] + [(sheet, None, 1, False), (sheet, 1, None, True)]
+        if sheet % 5:
+            boxes += [(sheet, *x) for x in own]
+            free = {x: n for x, n in at.items() if not any(t <= x[0] <= b and l <= x[1] <= w for t, l, b, w in own)}
+            want += [(sheet, *x) for x in graph.grown(own, {x for x, n in free.items() if not n}, {x for x, n in free.items() if n})]
+    pick.shuffle(cells)
+    df = graph.absorb_fringe(spark.createDataFrame(cells, "sheet long, row int, col int, number boolean"), spark.createDataFrame(boxes, "sheet long, top int, left int, bottom int, right int"))
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert sorted(want) != sorted(boxes)
+    assert "InPandas" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scales_that_are_asked_once(spark):
     same = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
     asked = spark.createDataFrame([(3, "lakh"), (1, "lakh"), (5, "lakh"), (6, "crore"), (9, "unit")], "node long, scale string")
