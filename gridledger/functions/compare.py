@@ -55,6 +55,13 @@ def site_similarity(a: Column, b: Column) -> Column:
     return text.edit_similarity(text.loose_key(a), text.loose_key(b))
 
 
+def key_similarity(a: Column, b: Column, least: float) -> Column:
+    """Whether keys are at least so similar; edits are counted only where the lengths allow it."""
+    long, short = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    may = F.when(long == 0, F.lit(True)).otherwise(1 - (long - short) / long >= least)
+    return F.when(may, text.edit_similarity(a, b) >= least).otherwise(False)
+
+
 def pair_verdict(kind_a: Column, a: Column, unit_a: Column, kind_b: Column, b: Column, unit_b: Column) -> Column:
     """The rule that two facts' kinds call for: rates with units, money, quantities; null where none does."""
     both = lambda k: (kind_a == k) & (kind_b == k)

@@ -6,6 +6,58 @@ import re
 import pytest
 
 from gridledger.operators import joins
+from gridledger.queries.joins import jn7, jn8
+from gridledger.queries.scalars import cmp6
+
+
+def joined(df) -> int:
+    """Rows of the largest join that df has run."""
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        kids = node.children()
+        own = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return max([own, *(walk(kids.apply(i)) for i in range(kids.size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def parts(spark, folder, rows):
+    kind = "p_partkey bigint, p_name string, p_brand string, p_size int, p_retailprice double"
+    spark.createDataFrame(rows, kind).repartition(2).write.mode("overwrite").parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_classes_keep_every_row_in_lists_of_bounded_size(spark):
+    rows = [(k, "x" if k % 5 else "y", 1.5) for k in range(300)] + [(900, None, 1.5), (901, "z", 2.0), (901, "z", 2.0)]
+    got = joins.classes(spark.createDataFrame(rows, "id long, name string, at double"), ["name", "at"], most=20).collect()
+    assert sorted((x.id, r.name, r.at) for r in got for x in r._rows) == sorted(x for x in rows if x[1])
+    assert len({(r.name, r.at) for r in got}) == 3 and len(got) >= 10 and max(len(r._rows) for r in got) < 60
+
+
+def test_sites_of_one_name_are_compared_once(spark, tmp_path):
+    """Before, all 80,000 pairs of the copies were joined and compared, by keys made anew for each."""
+    rows = [(k, ("Hot, Bolt", "hot bolt")[k % 2], "A", 1, 1.0) for k in range(400)] + [(k, "hot bolts", "A", 1, 1.0) for k in range(195, 205)]
+    rows += [(500, "hot-bolt", "B", 1, 1.0), (501, "hot bolt", "A", 2, 1.0), (502, "cold ring", "A", 1, 1.0), (503, None, "A", 1, 1.0), (504, "hot bolt", None, 1, 1.0), (505, "hotb", "A", 1, 1.0)]
+    df = cmp6(spark, parts(spark, tmp_path, rows))
+    name = {"Hot, Bolt": "hotbolt", "hot bolt": "hotbolt", "hot bolts": "hotbolts", "cold ring": "coldring", "hotb": "hotb"}
+    one = [(k, name[n]) for k, n, brand, size, _ in rows if n and brand == "A" and size == 1]
+    want = sorted((i, j) for i, x in one for j, y in one if i < j and 1 - edits_(x, y) / max(len(x), len(y)) >= 0.8)
+    assert sorted(map(tuple, df.collect())) == want
+    assert len(want) > 80_000 and joined(df) < 1000
+
+
+_seen = {}
+
+
+def edits_(a, b):
+    if (a, b) not in _seen:
+        _seen[a, b] = edits(a, b)
+    return _seen[a, b]
 
 
 def edits(a, b):
