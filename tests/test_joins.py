@@ -123,3 +123,15 @@ def test_near_boxes_in_one_place_are_compared_once(spark, tmp_path):
     want = sorted((i, j) for i, p, x, y in box for j, q, u, v in box if i % 2 == 0 and j % 2 == 1 and p == q and meet(x, u, 15) and meet(y, v, 10))
     assert sorted(map(tuple, df.collect())) == want
     assert len(want) > 62_500 and joined(df) < 6_000
+
+
+def test_overlapping_boxes_in_one_place_are_compared_once(spark, tmp_path):
+    """Before, each pair of the copies was joined and compared."""
+    pick = random.Random(4)
+    rows = [(k, "n", "A", 3, 900.0) for k in range(500)] + [(k, "n", pick.choice("AB"), pick.randint(1, 12), pick.randint(0, 400) / 2) for k in range(500, 700)]
+    df = jn8(spark, parts(spark, tmp_path, [*rows, (900, "n", None, 3, 900.0), (901, "n", "A", 3, None)]))
+    box = [(k, page, size * 10.0, price / 2) for k, _, page, size, price in rows]
+    meet = lambda p, q, wide: p < q + wide + 0 and q < p + wide + 0
+    want = sorted((i, j) for i, p, x, y in box for j, q, u, v in box if i % 2 == 0 and j % 2 == 1 and p == q and meet(x, u, 15) and meet(y, v, 10))
+    assert sorted(map(tuple, df.collect())) == want
+    assert len(want) > 62_500 and joined(df) < 6_000
